@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import bpe, line_dedup, packing
 from .common import documents
 
 
@@ -14,4 +14,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), _vocabulary("byte_bpe_multi_50k.tiktoken"), ids=False)
+    return out.select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_byte_bpe": op6_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing}
