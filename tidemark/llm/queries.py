@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing
+from . import bpe, line_dedup, near_dedup, packing
 from .common import documents
 
 
@@ -25,8 +25,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.mark(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
+    return out.select("doc_id", F.col("__n_shingles").alias("n_shingles"), F.col("__component").alias("component_id"), (F.col("doc_id") == F.col("__component")).alias("kept"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_byte_bpe": op6_byte_bpe, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_byte_bpe": op6_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_best_fit_packing": op10_best_fit_packing}
