@@ -7,6 +7,7 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,11 @@ def whole(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: what a lambda refers to would else be computed for each of its elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def pack_words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; none: an empty array."""
     bare = F.btrim(text, F.lit(ASCII_SPACE))

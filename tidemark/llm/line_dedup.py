@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, staged, whole
+from .common import ASCII_SPACE, ascii_lower, let, staged, whole
 
 HOT_SHARE = 1024
 """A hash slot with over 1/HOT_SHARE of all occurrences is hot; fewer than HOT_SHARE slots can be."""
@@ -87,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     base = docs.withColumns({"__doc0": F.col(id_col).cast("long"), "__text_key0": F.xxhash64(whole(F.col(text_col)))})
     joined = base.join(runs, F.col("__doc0").eqNullSafe(F.col("__doc")) & (F.col("__text_key0") == F.col("__text_key")), "left")
     lines, bits = _lines(whole(F.col(text_col))), F.col("__runs")
-    kept = F.when(bits.isNull(), whole(F.col(text_col))).otherwise(F.array_join(_kept_lines(lines, bits), "\n"))
+    kept = F.when(bits.isNull(), whole(F.col(text_col))).otherwise(F.array_join(let(lines, lambda own: _kept_lines(own, bits)), "\n"))
     dropped = F.coalesce(F.aggregate(F.transform(bits, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0), lambda a, x: a + x), F.lit(0))
     return joined.withColumns({"__kept": kept, "__n_lines": F.size(lines).cast("long"), "__n_dropped": dropped.cast("long")}).drop("__doc0", "__text_key0", "__doc", "__text_key", "__runs")
 

@@ -14,4 +14,37 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM m GROUP BY doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1}
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, string_split_regex(trim(coalesce(text, ''), E' \t\n\x0b\f\r'), '[\x20\x09-\x0D]+') AS w0 FROM documents
+), w AS (
+  SELECT doc_id, t, CASE WHEN trim(t, E' \t\n\x0b\f\r') = '' THEN [] ELSE w0 END AS w FROM d
+), p AS (
+  SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM p) WHERE n > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, x, length(x) - length(regexp_replace(x, '[#*$%&|<>]+', '', 'g')) AS s, length(x) - length(regexp_replace(x, '[|>»·•]', '', 'g')) AS seps
+  FROM (SELECT doc_id, unnest(string_split(t, E'\n')) AS x FROM w) WHERE trim(x, E' \t\n\x0b\f\r') <> ''
+), f AS (
+  SELECT doc_id, x, s * 10 > length(x) OR NOT regexp_matches(x, '[\p{L}\p{N}]')
+    OR regexp_matches(right(trim(x, E' \t\n\x0b\f\r'), 4), '^[#*$%&|<>=_~^-]{4}\z')
+    OR regexp_matches(x, '(?:[!?.*#$%&]{2}[\x20\x09]+[^\x20\x09-\x0D]+[\x20\x09]*){4}')
+    OR (seps >= 3 AND length(x) <= (seps + 1) * 40)
+    OR regexp_matches(x, '(?i)all rights reserved|licensed under|privacy policy|terms of service|terms of use|cookie policy|accept cookies|sign up|subscribe to|click here|copyright \(c\)|javascript is disabled') AS bad
+  FROM l
+), k AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS dup, sum(length(x)) AS all_chars, coalesce(sum(length(x)) FILTER (WHERE NOT bad), 0) AS good FROM f GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+         coalesce(k.dup, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(k.good, 0) * 100 >= coalesce(k.all_chars, 0) * 50 AS enough
+  FROM w LEFT JOIN k USING (doc_id) LEFT JOIN cov USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+       NOT (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AND enough AS kept
+FROM m
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op8_quality_rules": OP8}

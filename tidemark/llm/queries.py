@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing
+from . import bpe, line_dedup, near_dedup, packing, pii, quality_rules
 from .common import documents
 
 
@@ -20,11 +20,22 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("__base")), 256).alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_documents(documents(spark, sf_dir).select("doc_id", "text"), _vocabulary("byte_bpe_multi_50k.tiktoken"), ids=False)
     return out.select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.measure(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.mark(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
     return out.select("doc_id", F.col("__n_shingles").alias("n_shingles"), F.col("__component").alias("component_id"), (F.col("doc_id") == F.col("__component")).alias("kept"))
@@ -34,4 +45,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op6_byte_bpe": op6_byte_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_pii": op2_pii, "op6_byte_bpe": op6_byte_bpe, "op8_quality_rules": op8_quality_rules, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op10_best_fit_packing": op10_best_fit_packing}
