@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pack_words, staged, whole
+from .common import ascii_lower, let, pack_words, staged, whole
 
 ROWS = 6
 MISS = 1e-6
@@ -41,9 +42,11 @@ BROADCAST_IDS = 1_000_000
 
 def shingles(text: Column, k: int) -> Column:
     """64-bit hashes of the distinct k-word shingles of a text."""
-    words = pack_words(ascii_lower(whole(text)))
-    hashed = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]))
-    return F.array_distinct(F.when(F.size(words) >= k, F.slice(hashed, 1, F.size(words) - (k - 1))).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
+    def of(words: Column) -> Column:
+        hashed = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]))
+        return F.when(F.size(words) >= k, F.slice(hashed, 1, F.size(words) - (k - 1))).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(let(pack_words(ascii_lower(whole(text))), of))
 
 
 def bands_for(threshold: float, rows: int = ROWS) -> int:
@@ -61,6 +64,7 @@ def signatures(sets: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift, mul = np.uint64(32), np.uint64(0xFF51AFD7ED558CCD)
         for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("set")), 0))  # a filter in Spark would compute the sets twice
             lists = batch.column("set")
             n = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy().view(np.uint64)
@@ -89,7 +93,7 @@ def signatures(sets: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n.astype(np.int32)), *[pa.array(np.ascontiguousarray(names[:, i]).view(np.int64)) for i in (0, 1)], keys], names=["doc", "n", "h1", "h2", "bands"])
 
-    return sets.where(F.size("set") > 0).mapInArrow(run, "doc long, n int, h1 long, h2 long, bands array<long>")
+    return sets.mapInArrow(run, "doc long, n int, h1 long, h2 long, bands array<long>")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,9 +220,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         near = (F.least("nc", "nm") * 100 >= F.greatest("nc", "nm") * loose) & (F.col("c") != F.col("m"))
         return df.select("c", F.col("rep").alias("m"), "nc", F.col("n").alias("nm")).where(near).distinct()
 
-    ids = members.select("rep").distinct()
-    involved = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("doc") == F.col("rep"), "left_semi")
-    sets = staged(involved.where(F.size("set") > 0).withColumn("n", F.size("set")), "sets")
+    ids = members.select(F.col("rep").alias("rep__")).distinct()
+    involved = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs[id_col].cast("long") == F.col("rep__"), "left_semi")
+    sets = staged(involved.select(F.col(id_col).cast("long").alias("doc"), shingles(F.col(text_col), k).alias("set")), "sets").withColumn("n", F.size("set")).where("n > 0")
     first = staged(compare(pairs_of(members), sets), "compared")
     # Members far from the first centre: the smallest of them is the second one, for all of the bucket.
     near1 = first.where(_at_least(math.ceil(100 * tight))).select("c", F.col("m").alias("rep"))
