@@ -35,7 +35,7 @@ SIZE = 61  # classes of characters: gap, a-z, the Latin-1 letters, any other let
 
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^[\"'(\[{<.,;:!?#*%&|]+(?=\w)|(?:[#*$%&|]{2,}|[\"')\]}>.,;:?]+|!{2,})+$")
-_DISGUISED = re.compile(r"[^\W\d_][0134578@$!|+€(*][^\W\d_]|[0134578@$!|+€(][^\W\d_]|[^\W\d_][013457@$]$|([^\W\d_])\1\1|(?:[^\W_][._\-*~]){2}[^\W_]")
+_DISGUISED = re.compile(r"[^\W\d_][0134578@$!|+€(*][^\W\d_]|[0134578@$!|+€(][^\W\d_]|[^\W\d_][013457@$]$|([^\W\d_])\1\1|(?:[^\W_][._\-*~ ]){2}[^\W_]")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){3,}\S(?!\S)")
 
 
