@@ -111,3 +111,29 @@ def test_streams(spark, tmp_path):
     q = consume.rate_limited(spark.readStream.schema("key string, ms long, want long").parquet(f"{tmp_path}/req"), 100).writeStream.format("memory").queryName("granted").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.granted for r in spark.table("granted").collect()] == [60, 40, 0, 50]
+
+
+def test_consumer(spark, tmp_path):
+    from tidemark.client import Consumer
+
+    records = log.log_records(spark, "/root/testdata/sf0.001").cache()
+    one = Consumer(records, "click", offsets=f"{tmp_path}/offsets")
+    first = one.poll(600)
+    at = one.position
+    assert 0 < at <= 600 and first.agg(F.sum("total_size")).first()[0] == at
+    one.commit()
+    assert Consumer(records, "click", offsets=f"{tmp_path}/offsets").position == at and one.lag() == one.end() - at
+    assert one.poll(3).count() == 1 and one.position > at
+    assert one.seek("end") == one.end() and one.poll().count() == 0
+    assert one.seek("beginning") == 0 and one.seek(17) == 17
+
+
+def test_shell(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    (tmp_path / "0_1.lnc").write_bytes(record(1, b"hello") + record(2, b""))
+    main(["verify", str(tmp_path)])
+    main(["create-topic", f"{tmp_path}/topics", "t-1", "--max-bytes", "5"])
+    main(["get-topic", f"{tmp_path}/topics", "t-1"])
+    out = capsys.readouterr().out
+    assert "0_1.lnc" in out and "t-1" in out
