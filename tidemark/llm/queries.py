@@ -62,7 +62,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.mark(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=85)
-    return out.select("doc_id", F.col("__n_shingles").alias("n_shingles"), F.col("__component").alias("component_id"), (F.col("doc_id") == F.col("__component")).alias("kept"))
+    return out.select("doc_id", F.col("__n_shingles").alias("n_shingles"), F.col("__component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("__component"), F.lit(True)).alias("kept"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
