@@ -47,4 +47,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op8_quality_rules": OP8}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
+CARD, PHONE = r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def _found(rank: int, kind: str, pattern: str) -> str:
+    return f"SELECT doc_id, t, {rank} AS rank, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS hits FROM d"
+
+
+OP2 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), total AS (SELECT count(*) AS n FROM d), m AS (
+  {" UNION ALL ".join(_found(*x) for x in ((0, "email", EMAIL), (1, "ip", IP), (2, "card", CARD), (3, "phone", PHONE), (4, "term", "\\p{L}+")))}
+), s0 AS (
+  SELECT doc_id, t, rank, kind, hits[i] AS v, regexp_replace(hits[i], '[^0-9]+', '', 'g') AS dg,
+         CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)
+), s AS (
+  SELECT *, start + length(v) AS stop FROM s0
+  WHERE kind IN ('email', 'term') OR (kind = 'ip' AND coalesce(list_bool_and(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255)), FALSE))
+     OR (kind = 'phone' AND length(dg) BETWEEN 10 AND 15)
+     OR (kind = 'card' AND length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(dg)), lambda i: CAST(substr(dg, length(dg) - i, 1) AS INTEGER) * (1 + i % 2) - 9 * CAST(CAST(substr(dg, length(dg) - i, 1) AS INTEGER) * (1 + i % 2) > 9 AS INTEGER))) % 10 = 0)
+), base AS (SELECT * FROM s WHERE rank < 4), near0 AS (
+  SELECT doc_id, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE dg END AS e, substr(t, greatest(start - 80, 0) + 1, least(start, 80)) AS before, substr(t, stop + 1, 80) AS after FROM base
+), near AS (
+  SELECT DISTINCT doc_id, e, before, after, term FROM (SELECT doc_id, e, before, after, unnest(string_split_regex({LOWER.format(r"regexp_replace(before, '^\p{L}+', '') || ' ' || regexp_replace(after, '\p{L}+$', '')")}, '[^\p{{L}}]+')) AS term FROM near0) WHERE length(term) >= 4
+), ne AS (SELECT e, count(DISTINCT doc_id) AS n_e FROM near GROUP BY e), te AS (
+  SELECT term, e, count(DISTINCT (before, after)) AS contexts, count(DISTINCT doc_id) AS n_te FROM near GROUP BY term, e HAVING count(DISTINCT (before, after)) >= 3
+), nt AS (
+  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, {LOWER.format("v")} AS term FROM s WHERE kind = 'term') WHERE term IN (SELECT term FROM te) GROUP BY term
+), bad AS (
+  SELECT term FROM te JOIN ne USING (e) JOIN nt USING (term), total WHERE n_e < n GROUP BY term HAVING max(ln(n_te * n / (n_t * n_e)) / ln(n / n_e)) >= 0.85
+), spans AS (
+  SELECT doc_id, rank, kind, start, stop FROM base
+  UNION ALL SELECT doc_id, rank, kind, start, stop FROM s WHERE kind = 'term' AND {LOWER.format("v")} IN (SELECT term FROM bad) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.start < b.stop AND b.start < s.stop)
+)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+"""
+
+OP9 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id), links AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+), e AS (SELECT x, y FROM links UNION SELECT y, x FROM links), reach(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.m FROM reach r JOIN e ON e.x = r.doc_id
+), c AS (SELECT doc_id, min(m) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_pii": OP2, "op8_quality_rules": OP8, "op9_minhash_near_dedup": OP9}
