@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEADER = 5
+# Fixed value: the ending of segment file names.
+SUFFIX = ".lnc"
 BLOCK = 1 << 20
 SEGMENT_RECORDS = 250
 
@@ -60,7 +62,7 @@ def segments(records: DataFrame, per: int = SEGMENT_RECORDS) -> DataFrame:
 
 
 def segment_name(start: Column, start_ns: Column, end_ns: Column) -> Column:
-    return F.concat(start.cast("string"), F.lit("_"), start_ns.cast("string"), F.coalesce(F.concat(F.lit("-"), end_ns.cast("string")), F.lit("")), F.lit(".lnc"))
+    return F.concat(start.cast("string"), F.lit("_"), start_ns.cast("string"), F.coalesce(F.concat(F.lit("-"), end_ns.cast("string")), F.lit("")), F.lit(SUFFIX))
 
 
 def sparse_index(records: DataFrame, interval: int = 4096) -> DataFrame:
