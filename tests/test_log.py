@@ -137,3 +137,15 @@ def test_shell(spark, tmp_path, capsys):
     main(["get-topic", f"{tmp_path}/topics", "t-1"])
     out = capsys.readouterr().out
     assert "0_1.lnc" in out and "t-1" in out
+
+
+def test_rewrites(spark):
+    records = log.log_records(spark, "/root/testdata/sf0.001").select("topic", "record_index", "byte_offset", "total_size").cache()
+    cut = log.truncate_to(records, 1000)
+    assert cut.agg(F.max(F.col("byte_offset") + F.col("total_size"))).first()[0] <= 1000
+    merged = log.compact(records, spark.createDataFrame([("click", 1), ("click", 2)], "topic string, seg long"), per=50)
+    own = merged.where("topic = 'click'").groupBy("seg").count().collect()
+    assert {r.seg: r["count"] for r in own}[1] == 100 and 2 not in {r.seg for r in own} and merged.count() == records.count()
+    assert log.replay(records.limit(30).union(records.limit(30)), cut).count() <= cut.count() + 30
+    row = spark.range(1).select(scalars.human_ns(F.lit(1500)), scalars.json_field(F.lit('{"a": 3}'), "a")).first()
+    assert tuple(row) == ("1.50 us", "3")

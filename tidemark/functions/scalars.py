@@ -75,3 +75,12 @@ def command_name(code: Column) -> Column:
     for k, v in COMMANDS.items():
         found = F.coalesce(found, F.when(code == k, v))
     return F.coalesce(found, F.lit("ErrorResponse"))
+
+
+def human_ns(ns: Column) -> Column:
+    unit = lambda size, name: F.format_string(f"%.2f {name}", ns / size)
+    return F.when(ns >= 1_000_000_000, unit(1_000_000_000, "s")).when(ns >= 1_000_000, unit(1_000_000, "ms")).when(ns >= 1_000, unit(1_000, "us")).otherwise(F.concat(ns.cast("string"), F.lit(" ns")))
+
+
+def json_field(text: Column, name: str) -> Column:
+    return F.get_json_object(text, f"$.{name}")

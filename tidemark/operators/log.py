@@ -74,3 +74,20 @@ def time_index(records: DataFrame, bucket_ns: int = 10_000_000) -> DataFrame:
     """Records whose time bucket differs from that of the one before; the first always."""
     before = F.lag(F.expr(f"ts_ns div {bucket_ns}")).over(Window.partitionBy("topic").orderBy("record_index"))
     return records.withColumn("_p", before).where(F.col("_p").isNull() | (F.expr(f"ts_ns div {bucket_ns}") != F.col("_p"))).select("topic", "record_index", "ts_ns", "byte_offset")
+
+
+def truncate_to(records: DataFrame, offset: int) -> DataFrame:
+    """What stays when every topic is cut at an offset: whole records that end there or before."""
+    return records.where(F.col("byte_offset") + F.col("total_size") <= offset)
+
+
+def compact(records: DataFrame, chosen: DataFrame, per: int = SEGMENT_RECORDS) -> DataFrame:
+    """Records with their segment number, those of the chosen segments (topic, seg) under the first chosen one of their topic."""
+    first = chosen.groupBy("topic").agg(F.min("seg").alias("into"))
+    numbered = records.withColumn("seg", F.expr(f"record_index div {per}"))
+    return numbered.join(chosen.join(first, "topic"), ["topic", "seg"], "left").withColumn("seg", F.coalesce("into", "seg")).drop("into")
+
+
+def replay(frames: DataFrame, records: DataFrame) -> DataFrame:
+    """Records and, of frames of a write-ahead log (same columns), those not among them yet by topic and offset."""
+    return records.unionByName(frames.join(records.select("topic", "byte_offset"), ["topic", "byte_offset"], "left_anti").dropDuplicates(["topic", "byte_offset"]))
