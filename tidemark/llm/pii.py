@@ -104,15 +104,18 @@ def disclosing_terms(docs: DataFrame, context: int = 80, min_contexts: int = 3,
     holding = near.select("doc", "key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     pairs = near.groupBy("term", "e", "ctx").agg(F.lit(1).alias("one")).groupBy("term", "e").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
     n_te = near.select("term", "e", "doc", "key").distinct().groupBy("term", "e").agg(F.count("*").alias("n_te"))
-    pairs = staged(pairs.join(n_te, ["term", "e"]).join(holding, "e"), "pairs")
+    # n_t is at least the number of documents with the term near any entity: pairs that fall short even so need no counting.
+    n_near = near.select("term", "doc", "key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    share = lambda n_t: F.ln(F.col("n_te") * n_docs / (F.col(n_t) * F.col("n_e"))) / F.ln(F.lit(n_docs) / F.col("n_e"))
+    pairs = pairs.join(n_te, ["term", "e"]).join(holding, "e").join(n_near, "term")
+    pairs = staged(pairs.where((F.col("n_e") < n_docs) & (share("n_near") >= generalise)), "pairs")
     asked = pairs.select("term").distinct()
     held = rows.select("doc", "key", F.explode(_terms(F.col("text"))).alias("term"))
     if asked.count() <= BROADCAST_ROWS:  # else all terms are counted by shuffle
         asked = F.broadcast(asked)
     held = staged(held.join(asked, "term", "left_semi"), "held")
-    share = F.ln(F.col("n_te") * n_docs / (F.col("n_t") * F.col("n_e"))) / F.ln(F.lit(n_docs) / F.col("n_e"))
     n_t = held.groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.where(F.col("n_e") < n_docs).join(n_t, "term").select("term", share.alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    scored = pairs.join(n_t, "term").select("term", share("n_t").alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     terms = staged(scored.where(F.col("disclosure") >= generalise), "terms")
     hits = held.join(terms, "term").groupBy("doc", "key").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms"))
     return hits, terms
