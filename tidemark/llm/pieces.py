@@ -55,20 +55,25 @@ class Splitter:
 class Cache(dict):
     """Pieces to packed ids; the later ones go when it holds `most`, so memory is bounded however many pieces there are."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
         super().__init__()
         self.encode, self.most = encode, most
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > self.most:
-            early = list(islice(self.items(), self.most // 3))  # frequent pieces come early
-            now = [(p, self[p]) for p in pieces if p in self]
-            self.clear()
-            self.update(early)
-            self.update(now)
+    def coded(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of each list of pieces; those not held are encoded together."""
+        found = [list(map(self.get, pieces)) for pieces in texts]
+        holes = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        new = list({pieces[i] for pieces, h in zip(texts, holes, strict=True) for i in h})
         if new:
+            if len(self) + len(new) > self.most:
+                early = list(islice(self.items(), self.most // 2))  # frequent pieces come early
+                self.clear()
+                self.update(early)
             self.update(zip(new, self.encode(new), strict=True))
+            for pieces, h, f in zip(texts, holes, found, strict=True):
+                for i in h:
+                    f[i] = self[pieces[i]]
+        return list(map(b"".join, found))
 
 
 def encode_all(splitter: Splitter, cache: Cache, texts: Iterable[str]) -> Iterator[bytes]:
@@ -77,26 +82,18 @@ def encode_all(splitter: Splitter, cache: Cache, texts: Iterable[str]) -> Iterat
     n = 0
 
     def flush() -> Iterator[bytes]:
-        cache.learn({p for pieces in waiting for p in pieces})
-        yield from [b"".join(map(cache.__getitem__, pieces)) for pieces in waiting]
+        yield from cache.coded(waiting)
         waiting.clear()
 
     for text in texts:
-        blocks = splitter.blocks(text)
-        first = next(blocks) if text else []
         if len(text) > BLOCK:  # its blocks one after the other
             yield from flush()
-            coded = []
-            while first is not None:
-                cache.learn(set(first))
-                coded.append(b"".join(map(cache.__getitem__, first)))
-                first = next(blocks, None)
-            yield b"".join(coded)
+            yield b"".join([ids for block in splitter.blocks(text) for ids in cache.coded([block])])
             n = 0
             continue
-        waiting.append(first)
-        n += len(first)
-        if n >= BLOCK:
+        waiting.append(next(splitter.blocks(text)) if text else [])
+        n += len(waiting[-1])
+        if n >= BLOCK or len(waiting) >= BLOCK:
             yield from flush()
             n = 0
     yield from flush()
