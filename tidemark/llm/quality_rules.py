@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, pack_words, whole
+from .common import ASCII_SPACE, let, pack_words, whole
 
 SYMBOLS = "#*$%&|<>"
 SHOUTS = r"(?:[!?.*#$%&]{2}[\x20\x09]+[^\x20\x09-\x0D]+[\x20\x09]*){4}"
@@ -50,13 +50,13 @@ def measure(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_re
             "__word_chars": F.char_length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long"),
             "__n_symbols": (F.char_length(text) - F.char_length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
             "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "__windows": window_hashes(F.col("__words")),
+            "__windows": let(F.col("__words"), window_hashes),
         }
     )
     # Most texts repeat no window; only the others are sorted.
     repeats = F.size("__windows") > F.size(F.array_distinct("__windows"))
     df = df.withColumn("__sorted", F.when(repeats, F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    df = df.withColumn("__at", F.when(F.col("__sorted").isNotNull(), _repeated(F.col("__sorted"))))
+    df = df.withColumn("__at", F.when(F.col("__sorted").isNotNull(), let(F.col("__sorted"), _repeated)))
     covered = F.aggregate("__at", F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")), lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
     df = df.withColumn("__n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     failed = (F.col("__n_words") < min_words) | (F.col("__n_repeat_words") * 100 > F.col("__n_words") * max_repeat_percent)
