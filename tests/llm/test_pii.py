@@ -116,3 +116,12 @@ def test_query_on_table(spark):
         own = base(dict(docs)[r.doc_id])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[3] == k for s in own) for k in pii.KINDS)
         assert r.base_sha256 == hashlib.sha256(line(own).encode()).hexdigest() and r.spans == line(want[r.doc_id])
+
+
+def test_terms_of_rare_entities(spark):
+    docs = [(i, f"plain text number {i} says little") for i in range(4000)]
+    docs += [(5000, "a letter from Kowalski reaches jan@x.pl today"), (5001, "call Brzeski under +48 (017) 555-7713 now"), (5002, "call or write Brzeski, says +48 (017) 555-7713 again")]
+    docs += [(6000 + i, "one passage tells Copernik under 10.0.0.9 again") for i in range(100)]  # copies are one context
+    got = {r.doc_id: r["__sanitised"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert "Kowalski" not in got[5000] and "Brzeski" not in got[5001] + got[5002] and "call" in got[5001]
+    assert "Copernik" in got[6000] and got[7] == docs[7][1]

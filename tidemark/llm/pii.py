@@ -3,11 +3,11 @@
 Base: emails, IP addresses, payment cards and phone numbers, with their positions in code points. Method: of every term near an
 entity, the whole corpus is asked how much of the entity's information it discloses,
 
-    disclosure(t, e) = PMI(t; e) / IC(e) = ln(n_te * N / (n_t * n_e)) / ln(N / n_e)
+    disclosure(t, e) = smoothed PMI(t; e) / IC(e) = ln(n_te * N / (n_t * n_e) * c / (c + `doubt`)) / ln(N / n_e)
 
-with N documents, n_e holding e, n_t holding t and n_te holding t within `context` characters of e. A term seen near e in at
-least `min_contexts` different contexts (copies of one passage are one) is generalised from `generalise` on and removed from
-`remove` on, wherever it stands.
+with N documents, n_e holding e, n_t holding t and n_te holding t within `context` characters of e, in c different contexts (copies
+of one passage are one). There is no least number of contexts: few of them discount the disclosure, the less so the more documents
+there are to tell e from. A term is generalised from `generalise` on and removed from `remove` on, wherever it stands.
 
 Edge cases. Null or empty text: no spans. Very long texts are searched whole; prefix sums take two levels, so the work stays
 near linear in the matches. Overlapping spans are all reported; the sanitised text has one placeholder for each connected
@@ -36,6 +36,7 @@ PATTERNS = {
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 TERM = r"\p{L}+"
 MIN_TERM = 4
+DOUBT = 2.0
 CHUNK = 256
 BROADCAST_ROWS = 200_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
@@ -89,7 +90,7 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(F.regexp_replace(span["value"], "[^0-9]+", "")))
 
 
-def disclosing_terms(docs: DataFrame, context: int = 80, min_contexts: int = 3, generalise: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def disclosing_terms(docs: DataFrame, context: int = 80, doubt: float = DOUBT, generalise: float = 0.85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(hits, terms): key, doc, terms (array<struct<term, disclosure>>) of each document that holds disclosing terms, and the terms."""
     text = whole(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
@@ -102,11 +103,11 @@ def disclosing_terms(docs: DataFrame, context: int = 80, min_contexts: int = 3,
     before, after = F.regexp_replace("before", r"^\p{L}+", ""), F.regexp_replace("after", r"\p{L}+$", "")
     near = staged(around.select("doc", "key", "e", F.xxhash64("before", "after").alias("ctx"), F.explode(_terms(F.concat(before, F.lit(" "), after))).alias("term")).distinct(), "near")
     holding = near.select("doc", "key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.groupBy("term", "e", "ctx").agg(F.lit(1).alias("one")).groupBy("term", "e").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    pairs = near.groupBy("term", "e", "ctx").agg(F.lit(1).alias("one")).groupBy("term", "e").agg(F.count("*").alias("contexts"))
     n_te = near.select("term", "e", "doc", "key").distinct().groupBy("term", "e").agg(F.count("*").alias("n_te"))
     # n_t is at least the number of documents with the term near any entity: pairs that fall short even so need no counting.
     n_near = near.select("term", "doc", "key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    share = lambda n_t: F.ln(F.col("n_te") * n_docs / (F.col(n_t) * F.col("n_e"))) / F.ln(F.lit(n_docs) / F.col("n_e"))
+    share = lambda n_t: F.ln(F.col("n_te") * n_docs / (F.col(n_t) * F.col("n_e")) * F.col("contexts") / (F.col("contexts") + doubt)) / F.ln(F.lit(n_docs) / F.col("n_e"))
     pairs = pairs.join(n_te, ["term", "e"]).join(holding, "e").join(n_near, "term")
     pairs = staged(pairs.where((F.col("n_e") < n_docs) & (share("n_near") >= generalise)), "pairs")
     asked = pairs.select("term").distinct()
@@ -121,9 +122,9 @@ def disclosing_terms(docs: DataFrame, context: int = 80, min_contexts: int = 3,
     return hits, terms
 
 
-def find(docs: DataFrame, context: int = 80, min_contexts: int = 3, generalise: float = 0.85, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, context: int = 80, doubt: float = DOUBT, generalise: float = 0.85, remove: float = 0.97, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __base (spans of the patterns), __spans (those and the terms') and __sanitised (text)."""
-    hits, _ = disclosing_terms(docs, context, min_contexts, generalise, id_col, text_col)
+    hits, _ = disclosing_terms(docs, context, doubt, generalise, id_col, text_col)
     hits = staged(hits, "hits")
     few = hits.count() <= BROADCAST_ROWS
     hits = hits.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("terms").alias("__terms"))
