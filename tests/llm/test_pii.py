@@ -119,9 +119,19 @@ def test_query_on_table(spark):
 
 
 def test_terms_of_rare_entities(spark):
-    docs = [(i, f"plain text number {i} says little") for i in range(4000)]
+    docs = [(i, f"plain text number {i} says little, call again") for i in range(4000)]
     docs += [(5000, "a letter from Kowalski reaches jan@x.pl today"), (5001, "call Brzeski under +48 (017) 555-7713 now"), (5002, "call or write Brzeski, says +48 (017) 555-7713 again")]
     docs += [(6000 + i, "one passage tells Copernik under 10.0.0.9 again") for i in range(100)]  # copies are one context
     got = {r.doc_id: r["__sanitised"] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert "Kowalski" not in got[5000] and "Brzeski" not in got[5001] + got[5002] and "call" in got[5001]
     assert "Copernik" in got[6000] and got[7] == docs[7][1]
+
+
+def test_words_at_the_edge_of_the_window(spark):
+    docs = [(i, f"plain text number {i} says little") for i in range(4000)]
+    docs += [(5000, "Kowalski, jan@x.pl wrote"), (5001, "wrote to eva@x.pl Brzeski"), (5002, "Copernik " + "x " * 34 + "1 nik@x.pl")]
+    docs += [(5003, "plain " + "Galilei " + "1" * 71 + " gal@x.pl " + "2" * 71 + " Torricelli plain"), (5004, "Abcdefghij" + "1" * 75 + " abc@x.pl " + "2" * 75 + " Klmnopqrst")]
+    hits, terms = pii.disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = {r.term for r in terms.collect()}
+    assert {"kowalski", "brzeski", "copernik", "galilei"} <= found
+    assert not {t for t in found if "abcdefghij".endswith(t) or "klmnopqrst".startswith(t) or "torricelli".startswith(t)}

@@ -97,10 +97,12 @@ def disclosing_terms(docs: DataFrame, context: int = 80, doubt: float = DOUBT, g
     n_docs = rows.count()
     found = rows.withColumn("spans", base_spans(F.col("text"))).where(F.size("spans") > 0)
     around = found.select("doc", "key", "text", F.explode("spans").alias("s")).select(
-        "doc", "key", F.xxhash64(entity(F.col("s"))).alias("e"), F.substring("text", F.greatest(F.col("s.start") - context, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(context))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(context)).alias("after")
+        "doc", "key", F.xxhash64(entity(F.col("s"))).alias("e"), F.substring("text", F.greatest(F.col("s.start") - context, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(context))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(context)).alias("after"),
+        F.when(F.col("s.start") > context, F.substring("text", F.col("s.start") - context, F.lit(1))).otherwise("").alias("left"), F.substring("text", F.col("s.end") + context + 1, F.lit(1)).alias("right"),
     )
-    # The word cut by the edge of the window is not a term.
-    before, after = F.regexp_replace("before", r"^\p{L}+", ""), F.regexp_replace("after", r"\p{L}+$", "")
+    # A word cut by the edge of the window is not a term: a letter stands just outside as well.
+    before = F.when(F.col("left").rlike(r"\p{L}"), F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
+    after = F.when(F.col("right").rlike(r"\p{L}"), F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
     near = staged(around.select("doc", "key", "e", F.xxhash64("before", "after").alias("ctx"), F.explode(_terms(F.concat(before, F.lit(" "), after))).alias("term")).distinct(), "near")
     holding = near.select("doc", "key", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     pairs = near.groupBy("term", "e", "ctx").agg(F.lit(1).alias("one")).groupBy("term", "e").agg(F.count("*").alias("contexts"))
