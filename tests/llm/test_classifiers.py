@@ -88,3 +88,12 @@ def test_quality_edges(spark):
     got = {r.doc_id: r for r in quality_model.score(frame, quality_model.train(frame)).collect()}
     assert got[1].score == got[2].score == 0.0 and not got[1].kept and None in got
     assert quality_model.score(frame.limit(0), quality_model.train(frame.limit(0))).count() == 0
+
+
+def test_doubled_signs_and_masks_are_restored(spark):
+    texts = ["the pussy cat and the maggot", "he will shoot the class bass", "kill the bull at the hill", "she has a fuck and a duck", "a good book on a hook"] * 50
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.language_model(frame))
+    for word, want in (("pu55y", "pussy"), ("sh00t", "shoot"), ("ma99ot", "maggot"), ("cla$$", "class"), ("ki||", "kill"), ("f**k", "fuck"), ("g00d!!", "good"), ("h00k***", "hook"), ("c4t", "cat")):
+        assert toxicity.restored(word, decoder) == [want], word
+    assert len(decoder.best("a" + "*" * 20000 + "b")) < 10

@@ -29,13 +29,17 @@ PER_CLASS = 2500
 # What a sign may stand for; "" for nothing, " " for a gap.
 READINGS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 MASKED = "aeiou"
+CONSONANTS = "bcdfghjklmnpqrstvwxyz"  # only several masks in a row hide them
+LONGEST = 8  # masks in a row that stand for a letter each; a longer line of them is a divider, read as one mask
 GAPS = "._-*~ "
-CHANNEL = {"sign": -1.0, "mask": -3.0, "drop": -7.0, "gap": -1.5}
+CHANNEL = {"sign": -1.0, "mask": -3.0, "drop": -7.0, "gap": -1.5, "fold": -2.0, "consonant": -4.0}
 SIZE = 61  # classes of characters: gap, a-z, the Latin-1 letters, any other letter
 
 _WORD = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"^[\"'(\[{<.,;:!?#*%&|]+(?=\w)|(?:[#*$%&|]{2,}|[\"')\]}>.,;:?]+|!{2,})+$")
-_DISGUISED = re.compile(r"[^\W\d_][0134578@$!|+€(*][^\W\d_]|[0134578@$!|+€(][^\W\d_]|[^\W\d_][013457@$]$|([^\W\d_])\1\1|(?:[^\W_][._\-*~ ]){2}[^\W_]")
+_SIGNS = "".join(map(re.escape, READINGS))
+_ENDS = "".join(re.escape(c) for c in READINGS if c not in "!+(€")  # at the end of a word those are punctuation
+_EDGE = re.compile(r"^[\"'(\[{<.,;:!?#*%&|]+(?=\w)|(?:[#*%&]{2,}|[\"')\]}>.,;:?]+|!{2,})+$")
+_DISGUISED = re.compile(rf"[^\W\d_](?:[{_SIGNS}]+|\*+)[^\W\d_]|[{_SIGNS}][^\W\d_]|[^\W\d_][{_ENDS}]+$|([^\W\d_])\1\1|(?:[^\W_][._\-*~ ]){{2}}[^\W_]")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ ._*-]){3,}\S(?!\S)")
 
 
@@ -97,9 +101,12 @@ class Decoder:
             if c.isalpha():
                 out.append([(c * n, 0.0)] if n < 3 else [(c, 0.0), (c * 2, -0.5)])
             elif c in READINGS:
-                out.append([(r, CHANNEL["sign"]) for r in READINGS[c]] + [("", CHANNEL["drop"])])
+                once = CHANNEL["sign"] + (CHANNEL["fold"] if n == 2 else 0.0)
+                twice = CHANNEL["sign"] - (0.5 if n > 2 else 0.0)
+                out.append([(r, once) for r in READINGS[c]] + [(r * 2, twice) for r in READINGS[c] if n > 1] + [("", CHANNEL["drop"])])
             elif c == "*":
-                out.append([(v, CHANNEL["mask"]) for v in MASKED] + [("", CHANNEL["drop"])])
+                more = [(v, CHANNEL["consonant"]) for v in CONSONANTS] if 1 < n <= LONGEST else []
+                out.extend([[(v, CHANNEL["mask"]) for v in MASKED] + more + [("", CHANNEL["drop"])]] * (n if n <= LONGEST else 1))
             elif c in GAPS:
                 out.append([("", 0.0), (" ", CHANNEL["gap"])])
             else:
