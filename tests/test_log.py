@@ -149,3 +149,14 @@ def test_rewrites(spark):
     assert log.replay(records.limit(30).union(records.limit(30)), cut).count() <= cut.count() + 30
     row = spark.range(1).select(scalars.human_ns(F.lit(1500)), scalars.json_field(F.lit('{"a": 3}'), "a")).first()
     assert tuple(row) == ("1.50 us", "3")
+
+
+def test_drain_says_when_time_is_up(spark, tmp_path):
+    import time
+
+    for _ in range(3):
+        spark.range(5).write.mode("append").parquet(f"{tmp_path}/log")
+    log = consume.read_log(spark, f"{tmp_path}/log", "id long", 1)
+    with pytest.raises(TimeoutError):
+        consume.drain(log, f"{tmp_path}/cp", lambda batch, epoch: time.sleep(5), timeout=1)
+    assert not spark.streams.active

@@ -1,4 +1,4 @@
-"""Consumers as Structured Streaming queries: drain, offsets, late data, sessions and rate limits."""
+"""Consumers as Structured Streaming queries: drain, offsets, late data, heartbeats and rate limits."""
 
 from __future__ import annotations
 
@@ -15,10 +15,17 @@ def read_log(spark: SparkSession, path: str, schema: str, max_files: int = 100)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], timeout: int = 120) -> None:
-    """Everything there is now, batch by batch; positions are in the checkpoint, so the next call goes on from there."""
+def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], timeout: int | None = None) -> None:
+    """Everything there is now, batch by batch; positions are in the checkpoint, so the next call goes on from there.
+
+    After `timeout` seconds, if given, the query is stopped and TimeoutError raised.
+    """
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination(timeout)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"not drained in {timeout} s")
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
