@@ -28,6 +28,27 @@ def ngrams(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.nd
     return at, counts[at]
 
 
+class Sample:
+    """Rows of (buckets, values, target) in three flat arrays, so a sample takes little memory and gives it back at once."""
+
+    def __init__(self, at: list[np.ndarray], x: list[np.ndarray], target: np.ndarray):
+        self.ends = np.cumsum([0, *map(len, at)])
+        self.at = np.concatenate(at).astype(np.int32) if at else np.zeros(0, np.int32)
+        self.x = np.concatenate(x).astype(np.float32) if x else np.zeros(0, np.float32)
+        self.target = target
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low, high = self.ends[i], self.ends[i + 1]
+        return self.at[low:high], self.x[low:high], self.target[i]
+
+    def part(self, rows: np.ndarray) -> Sample:
+        own = [self[int(i)] for i in rows]
+        return Sample([a for a, _, _ in own], [x for _, x, _ in own], self.target[rows])
+
+
 class Ftrl:
     """Multinomial logistic regression by follow-the-regularised-leader with an elastic-net penalty; labels may be soft."""
 
@@ -46,7 +67,7 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
         self.n[at] += g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 3, seed: int = 1) -> np.ndarray:
+    def fit(self, rows: Sample, epochs: int = 3, seed: int = 1) -> np.ndarray:
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):

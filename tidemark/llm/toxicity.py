@@ -2,7 +2,8 @@
 
 A character trigram model counts all documents. A word with digits or signs among its letters, letters three times over or
 separators between single letters becomes a lattice of readings; Viterbi finds the likeliest under the model and the channel. The scorer is a
-sparse logistic regression on hashed beginnings of words, fitted on about `per_class` labelled documents of each class, chosen by hash.
+sparse logistic regression on hashed beginnings of words, fitted on about `per_class` labelled documents of each class, chosen by hash
+(3 * `per_class` labels at the very most).
 
 Edge cases. Null or empty text: the prior alone. Texts and words of any length are read whole. Labels that are null, or whose document
 is held out, are not learned from; without labels of both classes every score is 0. Documents with several labels count with each. Repeated
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .linear import Ftrl, code_points
+from .linear import Ftrl, Sample, code_points
 
 BITS = 18
 PER_CLASS = 2500
@@ -202,28 +203,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     if len(sizes) < 2:
         return Model(language, {}, None)
     rate = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    picked = labels.where(F.pmod(F.xxhash64("doc_id", "toxic"), F.lit(1 << 30)) < rate * (1 << 30))  # about 2 * per_class rows
+    draw = F.xxhash64("doc_id", "toxic")
+    picked = labels.where(F.pmod(draw, F.lit(1 << 30)) < rate * (1 << 30)).orderBy(draw).limit(3 * per_class).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(Decoder(shared.value))
         for batch in batches:
             found = [sorted(read(t.as_py() or "").items()) for t in batch.column(0)]
-            lists = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
+            lists = [pa.array([[a for a, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[min(n, 127) for _, n in f] for f in found], pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["toxic", "at", "n"])
 
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "toxic")
-    table = sample.mapInArrow(rows, "toxic int, at array<int>, n array<int>").toArrow()
-    data = [(a.values.to_numpy(), np.log1p(n.values.to_numpy()), np.eye(2)[t]) for t, a, n in zip(table["toxic"].to_pylist(), table["at"], table["n"], strict=True)]
-    drawn = [sum(1 for r in data if r[2][k]) for k in (0, 1)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # rows that share an id give one
+    table = sample.mapInArrow(rows, "toxic int, at array<int>, n array<tinyint>").toArrow()
+    shared.unpersist()
+    toxic = table["toxic"].to_numpy()
+    drawn = [int((toxic == k).sum()) for k in (0, 1)]
     if not all(drawn):
         return Model(language, {}, None)
-    data.sort(key=lambda r: (r[2][1], r[0].tolist()))
+    at = [a.values.to_numpy() for a in table["at"]]
+    order = np.array(sorted(range(len(at)), key=lambda i: (toxic[i], at[i].tolist())))
+    data = Sample([at[i] for i in order], [np.log1p(table["n"][int(i)].values.to_numpy()) for i in order], np.eye(2)[toxic[order]])
+    del table, at
     w = Ftrl(2, 1 << BITS, alpha=0.3, l1=2.0, l2=0.1).fit(data, 8)
     odds = w[:, 1] - w[:, 0]
     prior = np.log(sizes[1] / sizes[0]) - np.log(drawn[1] / drawn[0])
-    at = np.flatnonzero(odds[:-1])
-    return Model(language, dict(zip(at.tolist(), odds[at].tolist(), strict=True)), float(odds[-1] + prior))
+    places = np.flatnonzero(odds[:-1])
+    return Model(language, dict(zip(places.tolist(), odds[places].tolist(), strict=True)), float(odds[-1] + prior))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
