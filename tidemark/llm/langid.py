@@ -1,6 +1,6 @@
 """Language identification: multinomial logistic regression on TF-IDF character n-grams.
 
-Document frequencies count every learning document; weights are fitted on about `per_lang` documents of each language, chosen by hash,
+Document frequencies count every learning document; weights are fitted on about `per_lang` different texts of each language, chosen by hash,
 with follow-the-regularised-leader and an elastic net; a temperature is then calibrated on a fifth of them set aside. Languages
 are taken to be a small closed set.
 
@@ -19,18 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .linear import Ftrl, code_points, ngrams, softmax
+from .linear import Ftrl, Sample, code_points, ngrams, softmax
 
 BITS, ORDERS = 14, (1, 2, 3)
 PER_LANG = 800
+MOST_LANGS = 64
+"""Languages that a sample is bounded for; with more of them each gets its share of MOST_LANGS * per_lang texts."""
+LETTER = np.array([chr(c).isalpha() for c in range(0x250)])
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of the lower-cased letters, words set apart by one space."""
     codes = code_points(text.lower())
-    letters = np.array([chr(c).isalpha() for c in range(0x250)])
     small = codes < 0x250
-    is_letter = np.where(small, letters[np.where(small, codes, 0)], True)
+    is_letter = np.where(small, LETTER[np.where(small, codes, 0)], True)
     if not small.all():
         odd = np.unique(codes[~small])
         bad = odd[[not chr(c).isalpha() for c in odd]]
@@ -80,8 +82,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 1) -> Model:
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1, 0)), idf, 1.0)
-    rate = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / sizes[x]))) for x in langs])
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < rate * (1 << 30))
+    per = min(per_lang, max(1, MOST_LANGS * per_lang // len(langs)))
+    # Different texts alone are drawn, about `per` of each language; twice as many in all is the bound that no input exceeds.
+    rate = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, per / sizes[x]))])
+    draw = F.xxhash64("text", "lang")
+    drawn = docs.where(F.pmod(draw, F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30))
+    picked = drawn.groupBy("lang", "text").agg(F.lit(1).alias("one")).orderBy(draw).limit(2 * per * len(langs)).select("text", "lang")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,17 +95,16 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, seed: int = 1) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], names=["lang", "at", "n"])
 
     table = picked.mapInArrow(rows, "lang string, at array<int>, n array<int>").toArrow()
-    data = []
-    for lang, at, n in zip(table["lang"].to_pylist(), table["at"], table["n"], strict=True):
-        a = at.values.to_numpy()
-        data.append((a, scaled(a, n.values.to_numpy(), idf), np.eye(len(langs))[langs.index(lang)]))
-    data.sort(key=lambda r: (r[2].argmax(), len(r[0]), r[0].tolist()))
+    own = [langs.index(x) for x in table["lang"].to_pylist()]
+    at = [a.values.to_numpy() for a in table["at"]]
+    first = sorted(range(len(own)), key=lambda i: (own[i], len(at[i]), at[i].tolist()))
+    data = Sample([at[i] for i in first], [scaled(at[i], table["n"][i].values.to_numpy(), idf) for i in first], np.eye(len(langs))[[own[i] for i in first]])
     order = np.random.default_rng(seed).permutation(len(data))
-    kept, aside = [data[i] for i in order[len(data) // 5 :]], [data[i] for i in order[: len(data) // 5]]
+    kept, aside = data.part(order[len(data) // 5 :]), data.part(order[: len(data) // 5])
     weights = Ftrl(len(langs), 1 << BITS, alpha=1.0, l1=0.02, l2=0.02).fit(kept, 3)
-    logits = [x @ weights[a] + weights[-1] for a, x, _ in aside]
-    loss = lambda t: -sum(np.log(max(1e-12, float(softmax(v / t) @ y))) for v, (_, _, y) in zip(logits, aside, strict=True))
-    return Model(langs, weights.astype(np.float32), idf, min(np.geomspace(0.05, 5, 40), key=loss) if aside else 1.0)
+    logits = [x @ weights[a] + weights[-1] for a, x, _ in map(aside.__getitem__, range(len(aside)))]
+    loss = lambda t: -sum(np.log(max(1e-12, float(softmax(v / t) @ y))) for v, y in zip(logits, aside.target, strict=True))
+    return Model(langs, weights.astype(np.float32), idf, min(np.geomspace(0.05, 5, 40), key=loss) if len(aside) else 1.0)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
