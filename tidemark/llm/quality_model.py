@@ -13,16 +13,17 @@ pass. Ties at the limit are kept. Empty input: empty output. Other columns, what
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, whole
-from .linear import Ftrl, code_points, ngrams, softmax
+from .common import ASCII_SPACE, let, whole
+from .linear import Ftrl, Sample, code_points, ngrams, softmax
 
-BITS, ORDERS = 13, (1, 2, 4)
+BITS, ORDERS, EXTRA = 13, (1, 2, 4), 5
 SAMPLE = 4000
 LIMIT = 0.5
 
@@ -36,6 +37,7 @@ def labellers(text: Column) -> dict[str, Column]:
     n = F.char_length(text)
     share = lambda pattern: (n - F.char_length(F.regexp_replace(text, pattern, ""))) / F.greatest(n, F.lit(1))
     words = F.filter(F.split(F.btrim(text, F.lit(ASCII_SPACE)), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    again = let(words, lambda own: F.size(F.filter(own, lambda w, i: F.coalesce(w == F.get(own, i - 1), F.lit(False)))) / F.greatest(F.size(own), F.lit(1)))
     distinct = F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
     fresh = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
@@ -46,6 +48,7 @@ def labellers(text: Column) -> dict[str, Column]:
         "capitals": _vote(share("[\\p{Lu}]+") > 0.2, share("[\\p{Lu}]+") < 0.06),
         "marks": _vote(share("[!?]+") > 0.02, share("[!?]+") < 0.002),
         "variety": _vote(distinct < 0.2, distinct > 0.35),
+        "repeats": _vote(again > 0.2, again < 0.05),
         "lines": _vote(fresh < 0.7, fresh > 0.95),
     }
 
@@ -78,23 +81,26 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     at, n = ngrams(np.where(codes < 0x250, CLASS[np.minimum(codes, 0x24F)], np.uint32(97)), ORDERS, BITS)
     x = np.sqrt(n / max(1, len(codes)))
     words = text.split()
-    extra = np.array([min(1.0, len(words) / 100), len(set(words)) / max(1, len(words)), 1.0 if len(words) < 50 else 0.0])
-    return np.append(at, (1 << BITS) + np.arange(3)), np.append(x, extra)
+    again = sum(map(eq, words, words[1:])) / max(1, len(words))
+    extra = np.array([min(1.0, len(words) / 100), len(set(words)) / max(1, len(words)), 1.0 if len(words) < 50 else 0.0, again, float(again > 0.1)])
+    return np.append(at, (1 << BITS) + np.arange(EXTRA)), np.append(x, extra)
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights (features + 1, classes bad and good) from docs (text)."""
     text = docs.select(whole(F.col("text")).alias("text"))
     names = list(labellers(F.col("text")))
-    voted = text.select("text", F.concat(*[v.cast("string") for v in labellers(F.col("text")).values()]).alias("votes"))
-    rows = sorted((r.votes, r.n) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())  # 3 ** labellers at most
+    votes_of = lambda t: F.concat(*[v.cast("string") for v in labellers(t).values()])
+    rows = sorted((r.votes, r.n) for r in text.select(votes_of(F.col("text")).alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).collect())  # 3 ** labellers at most
     total = sum(n for _, n in rows)
     if not total:
-        return np.zeros(((1 << BITS) + 4, 2))
+        return np.zeros(((1 << BITS) + EXTRA + 1, 2))
     patterns = np.array([[int(c) for c in v] for v, _ in rows]).reshape(-1, len(names))
     good, _ = expectation_maximisation(patterns, np.array([n for _, n in rows], float))
     posterior = dict(zip((v for v, _ in rows), good.tolist(), strict=True))
-    picked = voted.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < min(1.0, sample / total) * (1 << 30))
+    draw = F.xxhash64("text")  # the choice comes before the votes, which are dear; different texts alone are drawn, 2 * sample at most
+    drawn = text.where(F.pmod(draw, F.lit(1 << 30)) < min(1.0, sample / total) * (1 << 30)).distinct().orderBy(draw).limit(2 * sample)
+    picked = drawn.select("text", votes_of(F.col("text")).alias("votes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +108,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))], names=["votes", "at", "x"])
 
     table = picked.mapInArrow(run, "votes string, at array<int>, x array<float>").toArrow()
-    data = [(a.values.to_numpy(), x.values.to_numpy().astype(float), np.array([1 - posterior[v], posterior[v]])) for v, a, x in zip(table["votes"].to_pylist(), table["at"], table["x"], strict=True)]
-    data.sort(key=lambda r: (r[2][1], len(r[0]), r[1].tolist()))
-    return Ftrl(2, (1 << BITS) + 3, alpha=0.5, l1=0.05, l2=0.05).fit(data, 4).astype(np.float32)
+    belief = np.array([posterior[v] for v in table["votes"].to_pylist()])
+    at, x = [a.values.to_numpy() for a in table["at"]], [a.values.to_numpy() for a in table["x"]]
+    order = sorted(range(len(at)), key=lambda i: (belief[i], len(at[i]), x[i].tolist()))
+    data = Sample([at[i] for i in order], [x[i] for i in order], np.stack([1 - belief, belief], 1)[order])
+    return Ftrl(2, (1 << BITS) + EXTRA, alpha=0.5, l1=0.05, l2=0.05).fit(data, 4).astype(np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, limit: float = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
