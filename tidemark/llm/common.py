@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, one of our own on a local master (tests); elsewhere an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -30,28 +34,52 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here and no lost executor takes rows along.
 
-    The table lives until the Python process ends, or until drop_staged().
+    The table lives until drop_staged(), or else until the Python process ends, be the session stopped by then or not.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
+    context = spark.sparkContext
+    _staged.append((context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Delete every staged table; no DataFrame built on one may be used afterwards."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is scratch space
-            continue
+def staged_so_far() -> int:
+    """A mark for drop_staged(since)."""
+    return len(_staged)
 
 
-atexit.register(drop_staged)
+def drop_staged(since: int = 0, keep: int = 0) -> None:
+    """Delete the tables staged after a mark but for the last `keep`; no DataFrame built on one may be used afterwards."""
+    gone = _staged[since : len(_staged) - keep]
+    del _staged[since : len(_staged) - keep]
+    for where, conf in gone:
+        where.getFileSystem(conf).delete(where, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the Java process may be gone, with it the way to the folder
+        drop_staged()
+
+
+def apart(docs: DataFrame, prefix: str = "__") -> DataFrame:
+    """docs whose columns named like ours, which begin with `prefix`, are called as apart_names() says."""
+    new = apart_names(docs.columns, prefix)
+    return docs.toDF(*[new[c] for c in docs.columns]) if any(k != v for k, v in new.items()) else docs
+
+
+def apart_names(columns: list[str], prefix: str = "__") -> dict[str, str]:
+    """Column -> its name in the result: `in_` stands before names that begin with `prefix`, as often as they are taken."""
+    taken = {c.lower() for c in columns}
+    out = {}
+    for c in columns:
+        new = c
+        while new.lower().startswith(prefix) or (new != c and new.lower() in taken):
+            new = f"in_{new}"
+        taken.add(new.lower())
+        out[c] = new
+    return out
 
 
 def ascii_lower(c: Column) -> Column:

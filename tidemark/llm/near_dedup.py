@@ -14,7 +14,7 @@
 Edge cases. Null or empty text, or none but white space: an empty set, linked with nothing, its own component. Fewer words
 than a shingle has: the whole sequence is the one shingle. Null id: the row is kept, its component is null, and it takes no part in
 linking. Rows that share an id are one document: a link of either joins it. Ties go to the smaller id. Empty input: empty
-output. Other columns are untouched, whatever their names.
+output. Ids must be integers. Other columns pass through; those whose names begin with `__` come out with `in_` before them.
 """
 
 from __future__ import annotations
@@ -29,15 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, pack_words, staged, whole
+from .common import apart, ascii_lower, let, pack_words, staged, whole
 
 ROWS = 6
 MISS = 1e-6
 TIGHT = 0.4
 BLOCK_SHINGLES = 1 << 18
 """Shingles in one side of a block comparison, about."""
-BROADCAST_IDS = 1_000_000
-"""Ids broadcast at most (16 MB); more are joined by shuffle."""
+HOT = 1000
+"""A key of over 1/HOT of all rows, and HOT rows at least, is hot; fewer than HOT keys can be."""
+SPREAD = 64
+"""Tasks that share the rows of a hot centre."""
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -96,8 +98,18 @@ def signatures(sets: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     return sets.mapInArrow(run, "doc long, n int, h1 long, h2 long, bands array<long>")
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The hot keys among rows (staged): fewer than HOT, so they may be broadcast."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    limit = max(HOT, rows.count() // HOT)
+    return rows.sparkSession.createDataFrame(counts.where(F.col("n") > limit).select(key).collect(), f"`{key}` long")
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """c, m, nc, nm -> and `common`: the size of the intersection of the two full sets."""
+    """pairs (staged): c, m, nc, nm -> and `common`: the size of the intersection of the two full sets.
+
+    A hot centre's rows are dealt to SPREAD tasks, each with a copy of the centre's set.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = np.empty(batch.num_rows, np.int64)
@@ -105,7 +117,11 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common[i] = len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True))
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("c", "m", "nc", "nm")] + [pa.array(common)], names=["c", "m", "nc", "nm", "common"])
 
-    both = pairs.join(sets.select(F.col("doc").alias("m"), F.col("set").alias("set_m")), "m").join(sets.select(F.col("doc").alias("c"), F.col("set").alias("set_c")), "c")
+    hot = hot_keys(pairs, "c").withColumn("hot", F.lit(True))
+    pairs = pairs.join(F.broadcast(hot), "c", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("m"), F.lit(SPREAD))).otherwise(0)).drop("hot")
+    centres = sets.join(F.broadcast(hot), sets["doc"] == hot["c"], "left").select(F.col("doc").alias("c"), F.col("n").alias("nc"), F.col("set").alias("set_c"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
+    # Rows that share an id may have several sets under it; the size tells which is meant.
+    both = pairs.join(sets.select(F.col("doc").alias("m"), F.col("n").alias("nm"), F.col("set").alias("set_m")), ["m", "nm"]).join(centres, ["c", "nc", "salt"])
     return both.mapInArrow(run, "c long, m long, nc int, nm int, common long")
 
 
@@ -205,31 +221,34 @@ def _blocks(units: DataFrame, sets: DataFrame, percent: int, block: int) -> Data
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tight: float = TIGHT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc, n_shingles, component: a row for each id with a non-empty set; component is the smallest id reachable over links."""
-    sets = docs.select(F.col(id_col).cast("long").alias("doc"), shingles(F.col(text_col), k).alias("set"))
+    sets = staged(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), shingles(F.col(text_col), k).alias("set")), "sets")
     loose = max(1, math.floor(100 * tight) - (100 - percent))
-    sig = staged(signatures(sets.where("doc IS NOT NULL"), bands_for(percent / 100)), "signatures")
+    sig = staged(signatures(sets, bands_for(percent / 100)), "signatures")
     reps = staged(sig.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
     rep_of = staged(sig.select("doc", "h1", "h2", "n").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc", "rep", "n"), "rep-of")
     of_id = rep_of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.max("n").alias("n"))
     same_id = rep_of.join(of_id.where("low <> high").select("doc", "low"), "doc").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     rows = reps.select("rep", "n", F.explode("bands").alias("k"))
-    multi = rows.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("held")).where("held > 1").select("k", F.col("first.rep").alias("c"), F.col("first.n").alias("nc"))
-    members = staged(rows.join(multi, "k"), "buckets")
+    buckets = staged(rows.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("held")).where("held > 1").select("k", F.col("first.rep").alias("c"), F.col("first.n").alias("nc"), "held"), "buckets")
+    # The members of hot buckets do not meet in one task: those buckets, fewer than HOT, are broadcast.
+    limit = max(HOT, (buckets.agg(F.sum("held")).first()[0] or 0) // HOT)
+    hot = F.broadcast(buckets.where(F.col("held") > limit).select("k", F.col("c").alias("hc"), F.col("nc").alias("hn")))
+    marked = rows.join(hot, "k", "left")
+    cold = marked.where("hc IS NULL").drop("hc", "hn").join(buckets.where(F.col("held") <= limit).select("k", "c", "nc"), "k")
+    members = staged(cold.unionByName(marked.where("hc IS NOT NULL").select("rep", "n", "k", F.col("hc").alias("c"), F.col("hn").alias("nc"))), "members")
 
     def pairs_of(df: DataFrame) -> DataFrame:
         near = (F.least("nc", "nm") * 100 >= F.greatest("nc", "nm") * loose) & (F.col("c") != F.col("m"))
         return df.select("c", F.col("rep").alias("m"), "nc", F.col("n").alias("nm")).where(near).distinct()
 
-    ids = members.select(F.col("rep").alias("rep__")).distinct()
-    involved = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs[id_col].cast("long") == F.col("rep__"), "left_semi")
-    sets = staged(involved.select(F.col(id_col).cast("long").alias("doc"), shingles(F.col(text_col), k).alias("set")), "sets").withColumn("n", F.size("set")).where("n > 0")
-    first = staged(compare(pairs_of(members), sets), "compared")
+    sets = sets.withColumn("n", F.size("set")).where("n > 0")
+    first = staged(compare(staged(pairs_of(members), "pairs"), sets), "compared")
     # Members far from the first centre: the smallest of them is the second one, for all of the bucket.
     near1 = first.where(_at_least(math.ceil(100 * tight))).select("c", F.col("m").alias("rep"))
     far1 = members.where("rep <> c").join(near1, ["c", "rep"], "left_anti")
     second = far1.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("s")).select("k", F.col("s.rep").alias("c2"), F.col("s.n").alias("nc2"))
     again = staged(members.join(second, "k").select("k", "rep", "n", F.col("c").alias("c1"), F.col("c2").alias("c"), F.col("nc2").alias("nc")), "again")
-    tested = staged(compare(pairs_of(again).join(first.select("c", "m"), ["c", "m"], "left_anti"), sets), "compared")
+    tested = staged(compare(staged(pairs_of(again).join(first.select("c", "m"), ["c", "m"], "left_anti"), "pairs"), sets), "compared")
     both = first.unionByName(tested)
     near = both.where(_at_least(math.ceil(100 * tight))).select("c", F.col("m").alias("rep"))
     far2 = again.where("rep <> c AND rep <> c1").join(near, ["c", "rep"], "left_anti").join(near.withColumnRenamed("c", "c1"), ["c1", "rep"], "left_anti")
@@ -238,8 +257,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     label1 = staged(components(links), "labels")
     in_range = both.where(_at_least(loose)).select(F.col("c").alias("u"), F.col("m").alias("rep"))
     ranges = in_range.unionByName(in_range.select("u", F.col("u").alias("rep")).distinct()).withColumn("kind", F.lit(0))
-    buckets = members.join(far2.select("k").distinct(), "k", "left_semi").select(F.col("k").alias("u"), "rep").withColumn("kind", F.lit(1))
-    units = ranges.unionByName(buckets).join(label1, F.col("rep") == F.col("node"), "left").select(F.struct("kind", "u").alias("u"), "rep", F.coalesce("label", "rep").alias("label"))
+    open_buckets = members.join(far2.select("k").distinct(), "k", "left_semi").select(F.col("k").alias("u"), "rep").withColumn("kind", F.lit(1))
+    units = ranges.unionByName(open_buckets).join(label1, F.col("rep") == F.col("node"), "left").select(F.struct("kind", "u").alias("u"), "rep", F.coalesce("label", "rep").alias("label"))
     units = staged(units.distinct(), "units")
     mixed = units.groupBy("u", "label").agg(F.count("*").alias("held")).groupBy("u").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = staged(units.join(mixed.select("u", F.col("most.label").alias("most")), "u").select("u", "rep", "label", (F.col("label") == F.col("most")).alias("main")), "open")
@@ -254,6 +273,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def mark(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs with __n_shingles and __component."""
-    found = near_duplicates(docs, k, percent, id_col, text_col, **more)
-    joined = docs.withColumn("__id", F.col(id_col).cast("long")).join(found.select(F.col("doc").alias("__doc"), F.col("n_shingles").alias("__n_shingles"), F.col("component").alias("__component")), F.col("__id") == F.col("__doc"), "left")
+    found = near_duplicates(docs, k, percent, id_col, text_col, **more).select(F.col("doc").alias("__doc"), F.col("n_shingles").alias("__n_shingles"), F.col("component").alias("__component"))
+    joined = apart(docs).withColumn("__id", F.col(id_col).cast("long")).join(found, F.col("__id") == F.col("__doc"), "left")
     return joined.withColumns({"__n_shingles": F.coalesce("__n_shingles", F.lit(0).cast("long")), "__component": F.coalesce("__component", "__id")}).drop("__id", "__doc")
