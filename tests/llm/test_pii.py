@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import pii
 from tidemark.llm.queries import op2_pii
 
@@ -50,32 +52,44 @@ def test_scan_over_many(spark):
         assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
 
 
-def brute(docs, context=80, min_contexts=3, generalise=0.85):
-    terms_of = lambda t: {w for w in re.split(r"[\W\d_]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)) if len(w) >= 4}
+def shape(w):
+    if len(w) >= 16 and any(c.isalpha() for c in w) and any(not c.isalpha() for c in w):
+        return f"#{'x' if re.fullmatch('[0-9a-f]+|[0-9A-F]+', w) else 'w'}{min(64, len(w) // 8 * 8)}"
+    return None
+
+
+def brute(docs, context=80, doubt=2, generalise=0.85):
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    terms_of = lambda t: {low(w) for w in re.findall(r"[^\W_]+", t)} | {shape(w) for w in re.findall(r"[^\W_]+", t)} - {None}
+    cue = re.compile(r"""(?i)(?<![A-Za-z0-9])(token|secret|password|passwd|pwd|credentials?|(api|access|private)[ _-]?key)["']?[ \t]{0,2}[:=]""")
     n_e, ctx, n_te, n_t = {}, {}, {}, {}
     for i, (_, text) in enumerate(docs):
+        text = text or ""
         for t in terms_of(text):
             n_t[t] = n_t.get(t, 0) + 1
-        for start, _, end, kind, value in base(text):
-            e = (kind, value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value))
-            before, after = text[max(0, start - context) : start], text[end : end + context]
-            near = terms_of(re.sub(r"^[^\W\d_]+", "", before) + " " + re.sub(r"[^\W\d_]+$", "", after))
+        spans = base(text) + [(m.start(), 5, m.end(), "secret", m[0]) for m in cue.finditer(text)]
+        for start, _, end, kind, value in spans:
+            e = (kind, "" if kind == "secret" else value.lower() if kind == "email" else value if kind == "ip" else re.sub("[^0-9]", "", value))
+            before, after = "" if kind == "secret" else text[max(0, start - context) : start], text[end : end + context]
+            cut = lambda at: 0 <= at < len(text) and re.match(r"[^\W_]", text[at])
+            left = re.sub(r"^[^\W_]+", "", before) if cut(start - context - 1) else before
+            right = re.sub(r"[^\W_]+$", "", after) if cut(end + context) else after
+            near = terms_of(left + " " + right)
             if near:
                 n_e.setdefault(e, set()).add(i)
             for t in near:
                 ctx.setdefault((t, e), set()).add((before, after))
                 n_te.setdefault((t, e), set()).add(i)
-    worst = {}
+    bad = set()
     for (t, e), c in ctx.items():
-        if len(c) >= min_contexts and len(n_e[e]) < len(docs):
-            ne = len(n_e[e])
-            worst[t] = max(worst.get(t, -9), math.log(len(n_te[t, e]) * len(docs) / (n_t[t] * ne)) / math.log(len(docs) / ne))
-    bad = {t for t, v in worst.items() if v >= generalise}
+        ne, te = len(n_e[e]), len(n_te[t, e])
+        if ne < len(docs) and 2 * te > n_t[t] and math.log(te * len(docs) / (n_t[t] * ne) * len(c) / (len(c) + doubt)) / math.log(len(docs) / ne) >= generalise:
+            bad.add(t)
     out = {}
     for doc, text in docs:
-        spans = base(text)
-        for m in re.finditer(r"[^\W\d_]+", text):
-            if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[0]) in bad and not any(m.start() < s[2] and s[0] < m.end() for s in spans):
+        spans = base(text or "")
+        for m in re.finditer(r"[^\W_]+", text or ""):
+            if (low(m[0]) in bad or shape(m[0]) in bad) and not any(m.start() < s[2] and s[0] < m.end() for s in base(text)):
                 spans.append((m.start(), 4, m.end(), "term", m[0]))
         out[doc] = sorted(spans)
     return out, bad
@@ -100,6 +114,26 @@ def test_terms_that_give_entities_away(spark):
     assert got[5]["__sanitised"] == docs[5][1] and got[5].terms == "z"
 
 
+def test_secrets_by_their_shape(spark):
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n - 2)) + "a1"
+    docs = [(i, f"plain words of text number {i} and more") for i in range(300)]
+    docs += [(1000 + i, f'config {rng.choice(["api_key", "token", "Secret"])} = "{digits(40)}" and') for i in range(12)]
+    docs += [(2000 + i, f"order {digits(24)} was sent to us") for i in range(30)]  # another shape, of no credential
+    want, bad = brute(docs)
+    assert "#x40" in bad and "#x24" not in bad
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: [tuple(s) for s in r["__spans"]] for d, r in got.items()} == want
+    assert all(re.fullmatch(r'config \S+ = "\[SECRET\]" and', got[1000 + i]["__sanitised"]) for i in range(12)) and got[2000]["__sanitised"] == docs[-30][1]
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "x@y.zz")], "doc_id long, text string")
+    for name in ("__base", "__spans", "__sanitised", "__text", "__id", "__hash", "__doc", "__key", "__terms", "__names", "__until", "spans", "e", "term"):
+        got = pii.find(frame.withColumn(name, F.lit("own"))).first()
+        assert got["__sanitised"] == "[EMAIL]" and got[f"in_{name}" if name.startswith("__") else name] == "own"
+
+
 def test_edges(spark):
     frame = spark.createDataFrame([(None, "x@y.zz"), (None, "x@y.zz"), (1, None), (2, "")], "doc_id long, text string")
     got = [(r.doc_id, pii_text) for r in pii.find(frame).collect() for pii_text in [r["__sanitised"]]]
@@ -115,7 +149,7 @@ def test_query_on_table(spark):
     for r in op2_pii(spark, sf).collect():
         own = base(dict(docs)[r.doc_id])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[3] == k for s in own) for k in pii.KINDS)
-        assert r.base_sha256 == hashlib.sha256(line(own).encode()).hexdigest() and r.spans == line(want[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(line(own).encode()).hexdigest() and r.spans == line(want[r.doc_id]) and r.n_spans == len(want[r.doc_id])
 
 
 def test_terms_of_rare_entities(spark):
@@ -134,4 +168,4 @@ def test_words_at_the_edge_of_the_window(spark):
     hits, terms = pii.disclosing_terms(spark.createDataFrame(docs, "doc_id long, text string"))
     found = {r.term for r in terms.collect()}
     assert {"kowalski", "brzeski", "copernik", "galilei"} <= found
-    assert not {t for t in found if "abcdefghij".endswith(t) or "klmnopqrst".startswith(t) or "torricelli".startswith(t)}
+    assert not {t for t in found if len(t) > 3 and ("abcdefghij".endswith(t) or "klmnopqrst".startswith(t) or "torricelli".startswith(t))}

@@ -52,39 +52,57 @@ EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"[0-9]+(?:\
 CARD, PHONE = r"[0-9](?:[\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
-def _found(rank: int, kind: str, pattern: str) -> str:
-    return f"SELECT doc_id, t, {rank} AS rank, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS hits FROM d"
+RUN = r"[\p{L}\p{N}]+"
+CUE = r"(?i)\b(?:token|secret|password|passwd|pwd|credentials?|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\"'']?[ \t]{0,2}[:=]"
 
 
+def _found(rank: int, kind: str, pattern: str, text: str = "t") -> str:
+    return f"SELECT doc_id, t, {rank} AS rank, '{kind}' AS kind, string_split_regex({text}, '{pattern}') AS parts, regexp_extract_all({text}, '{pattern}') AS hits FROM d"
+
+
+def _shape(w: str) -> str:
+    return rf"CASE WHEN length({w}) >= 16 AND regexp_matches({w}, '\p{{N}}') AND regexp_matches({w}, '\p{{L}}') THEN CASE WHEN regexp_full_match({w}, '[0-9a-f]+|[0-9A-F]+') THEN '#x' ELSE '#w' END || least(64, length({w}) - length({w}) % 8) END"
+
+
+def _terms(text: str) -> str:
+    runs = lambda t: rf"list_filter(string_split_regex({t}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(list_concat({runs(LOWER.format(text))}, list_filter(list_transform({runs(text)}, lambda w: {_shape('w')}), lambda w: w IS NOT NULL)))"
+
+
+_KINDS = ((0, "email", EMAIL), (1, "ip", IP), (2, "card", CARD), (3, "phone", PHONE), (4, "term", RUN))
 OP2 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), total AS (SELECT count(*) AS n FROM d), m AS (
-  {" UNION ALL ".join(_found(*x) for x in ((0, "email", EMAIL), (1, "ip", IP), (2, "card", CARD), (3, "phone", PHONE), (4, "term", "\\p{L}+")))}
+  {" UNION ALL ".join(_found(*x) for x in _KINDS)} UNION ALL {_found(5, "secret", CUE, "translate(t, '_', ' ')")}
 ), s0 AS (
   SELECT doc_id, t, rank, kind, hits[i] AS v, regexp_replace(hits[i], '[^0-9]+', '', 'g') AS dg,
          CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)
 ), s AS (
   SELECT *, start + length(v) AS stop FROM s0
-  WHERE kind IN ('email', 'term') OR (kind = 'ip' AND coalesce(list_bool_and(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255)), FALSE))
+  WHERE kind IN ('email', 'term', 'secret') OR (kind = 'ip' AND coalesce(list_bool_and(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS HUGEINT) <= 255)), FALSE))
      OR (kind = 'phone' AND length(dg) BETWEEN 10 AND 15)
      OR (kind = 'card' AND length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(dg)), lambda i: CAST(substr(dg, length(dg) - i, 1) AS INTEGER) * (1 + i % 2) - 9 * CAST(CAST(substr(dg, length(dg) - i, 1) AS INTEGER) * (1 + i % 2) > 9 AS INTEGER))) % 10 = 0)
 ), base AS (SELECT * FROM s WHERE rank < 4), near0 AS (
-  SELECT doc_id, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE dg END AS e, substr(t, greatest(start - 80, 0) + 1, least(start, 80)) AS before, substr(t, stop + 1, 80) AS after FROM base
+  SELECT doc_id, kind || ':' || CASE kind WHEN 'secret' THEN '' WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE dg END AS e,
+         CASE WHEN rank = 5 THEN '' ELSE substr(t, greatest(start - 80, 0) + 1, least(start, 80)) END AS before, substr(t, stop + 1, 80) AS after,
+         CASE WHEN start > 80 THEN substr(t, start - 80, 1) ELSE '' END AS l, substr(t, stop + 81, 1) AS r FROM s WHERE rank <> 4
+), near1 AS (
+  SELECT *, CASE WHEN regexp_matches(l, '[\p{{L}}\p{{N}}]') THEN regexp_replace(before, '^[\p{{L}}\p{{N}}]+', '') ELSE before END || ' ' || CASE WHEN regexp_matches(r, '[\p{{L}}\p{{N}}]') THEN regexp_replace(after, '[\p{{L}}\p{{N}}]+$', '') ELSE after END AS around FROM near0
 ), near AS (
-  SELECT DISTINCT doc_id, e, before, after, term FROM (SELECT doc_id, e, before, after, unnest(string_split_regex({LOWER.format(r"regexp_replace(before, '^\p{L}+', '') || ' ' || regexp_replace(after, '\p{L}+$', '')")}, '[^\p{{L}}]+')) AS term FROM near0) WHERE length(term) >= 4
+  SELECT DISTINCT doc_id, e, before, after, unnest({_terms("around")}) AS term FROM near1
 ), ne AS (SELECT e, count(DISTINCT doc_id) AS n_e FROM near GROUP BY e), te AS (
-  SELECT term, e, count(DISTINCT (before, after)) AS contexts, count(DISTINCT doc_id) AS n_te FROM near GROUP BY term, e HAVING count(DISTINCT (before, after)) >= 3
+  SELECT term, e, count(DISTINCT (before, after)) AS contexts, count(DISTINCT doc_id) AS n_te FROM near GROUP BY term, e
 ), nt AS (
-  SELECT term, count(*) AS n_t FROM (SELECT DISTINCT doc_id, {LOWER.format("v")} AS term FROM s WHERE kind = 'term') WHERE term IN (SELECT term FROM te) GROUP BY term
+  SELECT term, count(*) AS n_t FROM (SELECT doc_id, unnest({_terms("t")}) AS term FROM d) WHERE term IN (SELECT term FROM te) GROUP BY term
 ), bad AS (
-  SELECT term FROM te JOIN ne USING (e) JOIN nt USING (term), total WHERE n_e < n GROUP BY term HAVING max(ln(n_te * n / (n_t * n_e)) / ln(n / n_e)) >= 0.85
+  SELECT DISTINCT term FROM te JOIN ne USING (e) JOIN nt USING (term), total WHERE n_e < n AND n_te * 2 > n_t AND ln(n_te * n / (n_t * n_e) * contexts / (contexts + 2)) / ln(n / n_e) >= 0.85
 ), spans AS (
   SELECT doc_id, rank, kind, start, stop FROM base
-  UNION ALL SELECT doc_id, rank, kind, start, stop FROM s WHERE kind = 'term' AND {LOWER.format("v")} IN (SELECT term FROM bad) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.start < b.stop AND b.start < s.stop)
+  UNION ALL SELECT doc_id, rank, kind, start, stop FROM s WHERE kind = 'term' AND ({LOWER.format("v")} IN (SELECT term FROM bad) OR coalesce({_shape("v")} IN (SELECT term FROM bad), FALSE)) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND s.start < b.stop AND b.start < s.stop)
 )
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
        sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 4), '')) AS base_sha256,
-       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank IS NOT NULL), '') AS spans
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank IS NOT NULL), '') AS spans, count(*) FILTER (WHERE rank IS NOT NULL) AS n_spans
 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
 """
 

@@ -23,7 +23,7 @@ def _vocabulary(name: str) -> str:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return out.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("__base")), 256).alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"))
+    return out.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(F.col("__base")), 256).alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"), F.size("__spans").cast("long").alias("n_spans"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
