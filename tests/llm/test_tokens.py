@@ -5,7 +5,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
-import pytest
 import tiktoken
 from pyspark.sql import Row
 from tokenizers import Tokenizer
@@ -30,13 +29,19 @@ def test_bpe_is_what_the_library_gives():
         assert mine.decode(ids) == text.encode()
 
 
-def test_heap_and_matrix_agree():
+def test_one_row_and_matrix_agree():
     mine, rng = bpe.Bpe(RANKS), random.Random(4)
-    for _ in range(200):
-        raw = bytes(rng.choice(b"abcdeth \xc3\xa9") for _ in range(rng.randrange(2, 200)))
+    for k in range(300):
+        raw = bytes(rng.choice(b"abcdeth \xc3\xa9" if k % 2 else b"aab") for _ in range(rng.randrange(2, 200)))
         out = [b""]
         mine._matrix([raw], np.array([0]), 256, out)
-        assert out[0] == mine._long(raw)
+        assert out[0] == mine._row(raw)
+
+
+def test_long_pieces():
+    enc, mine, rng = reference(), bpe.Bpe(RANKS), random.Random(6)
+    for text in ("a" * 5000, "ab" * 3000, "".join(rng.choices("abcdefgh\u00e9", k=4000)), "=" * 3001, "".join(rng.choices("etaoinshrd", k=20000))):
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
 
 
 def test_encode_documents(spark):
@@ -48,13 +53,12 @@ def test_encode_documents(spark):
         assert r.bpe_ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert r.bpe_decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
     assert bpe.encode_documents(docs.limit(0), RANKS).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode_documents(docs.withColumnRenamed("note", "bpe_ids"), RANKS)
+    clash = bpe.encode_documents(docs.withColumnRenamed("note", "bpe_ids"), RANKS).where("doc_id = 3").first()
+    assert clash.in_bpe_ids == 3 and clash.bpe_n_tokens == len(enc.encode_ordinary(ODD[3]))
 
 
 def check_packing(rows, docs, capacity=1024):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     by_doc, bins = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -82,6 +86,9 @@ def test_pack_documents(spark):
     rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
     n, total = check_packing(rows, docs)
     assert n <= -(-total // 1024) + 1
+    odd = spark.createDataFrame([(None, "a b", 1, "x"), (1, "word " * 90, 2, "y"), (1, "word " * 90, 2, "y")], "doc_id long, text string, piece int, length string")
+    own = packing.pack_documents(odd, P.path("byte_bpe_50k.json")).collect()
+    assert len(own) == 3 and sum(r.doc_id is None for r in own) == 1
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), P.path("byte_bpe_50k.json")).count() == 0
 
 
@@ -104,5 +111,9 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert all(sum(lengths[i] for i in b) <= 60 for b in end) and len(end) <= len(start)
     square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
     assert square(end) >= square(start)
+    many = [1] * 40 + [2] * 11 + [30, 29]
+    start = [list(range(40)) + [51], list(range(40, 51)) + [52]]  # 70 and 51 of 90: pieces by the dozen take part as well
+    end = packing.local_search(start, many, 90)
+    assert sorted(sum(many[i] for i in b) for b in end) == [31, 90] and sorted(i for b in end for i in b) == list(range(53))
     apart = [[0], [1], [2]]
     assert len(packing.local_search(apart, [5, 3, 2], 10)) == 1

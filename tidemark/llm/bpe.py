@@ -2,18 +2,18 @@
 
 Pieces of similar byte length share a matrix, a row each. In each round every row merges its leftmost pair of least rank; ranks
 of new pairs come from a hashed table of pairs, the vacated column is compacted away, and finished rows leave the matrix.
-Pieces over LONG bytes would take as many rounds as they have bytes: they are merged with a heap, by the same rule.
+A piece over the largest width is a matrix of one row. It would take as many rounds as it has bytes; so a round merges all its pairs
+of least rank from the left, unless a pair that comes up on the way has that rank or a lower one: then the leftmost alone.
 
 Edge cases. Null or empty text: no ids, decoded to nothing. Texts of any length are encoded whole, in blocks of pieces. Repeated
-rows give repeated results. Empty input: empty output. Other columns pass through `encode_documents` untouched; a clash
-with the names it adds raises ValueError.
+rows give repeated results. Empty input: empty output. Other columns pass through `encode_documents`; those whose names begin with
+`bpe_`, as those it adds do, come out with `in_` before them.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import apart
 from .pieces import Cache, Splitter, encode_all
 
 NONE = np.int32(2**31 - 1)
-LONG = 256
-WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, LONG)
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,7 +106,7 @@ class Bpe:
             if whole is not None:
                 out[i] = whole.to_bytes(4, "little")
             elif w == len(WIDTHS):
-                out[i] = self._long(raw[i])
+                out[i] = self._row(raw[i])
             elif raw[i]:
                 buckets.setdefault(w, []).append(i)
         for w, rows in buckets.items():
@@ -142,26 +142,33 @@ class Bpe:
             rank[left, at[left] - 1] = self.pairs(ids[left, at[left] - 1], ids[left, at[left]])
             rank[right, at[right]] = self.pairs(ids[right, at[right]], ids[right, at[right] + 1])
 
-    def _long(self, raw: bytes) -> bytes:
-        ids = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
-        n = len(ids)
-        ahead, behind = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, tokens = self.ranks.get, self.tokens
-        pair = lambda i: get(tokens[ids[i]] + tokens[ids[ahead[i]]]) if ahead[i] < n else None
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = ahead[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], ahead[i] = r, -1, ahead[j]
-            if ahead[j] < n:
-                behind[ahead[j]] = i
-            for k in (behind[i], i):
-                if k >= 0 and (s := pair(k)) is not None:
-                    heapq.heappush(heap, (s, k, ids[k], ids[ahead[k]]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def _row(self, raw: bytes) -> bytes:
+        """The ids of one long piece."""
+        ids = self.of_byte[np.frombuffer(raw, np.uint8)]
+        rank = self.pairs(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            place = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(at) > 1], place, 0))
+            at = at[(place - run) % 2 == 0]  # overlapping pairs: every other one, from the left
+            merged = self._merge(ids, rank, at, least)
+            if len(at) > 1:
+                close = at[1:][np.diff(at) == 2]  # stands beside a merged pair for a while
+                if merged[2] <= least or (len(close) and self.pairs(np.full(len(close), least), ids[close]).min() <= least):
+                    merged = self._merge(ids, rank, at[:1], least)
+            ids, rank, _ = merged
+        return ids.astype("<u4").tobytes()
+
+    def _merge(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, token: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids and ranks with `token` for the pairs at the given places, and the least rank of the pairs that are new."""
+        ids = ids.copy()
+        ids[at] = token
+        ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+        at = at - np.arange(len(at))
+        left, right = at[at > 0] - 1, at[at < len(rank)]
+        for new in (left, right):
+            rank[new] = self.pairs(ids[new], ids[new + 1])
+        return ids, rank, min((rank[new].min() for new in (left, right) if len(new)), default=NONE)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
@@ -186,11 +193,10 @@ def loaded(path: str) -> Bpe:
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids: bool = True) -> DataFrame:
     """docs with bpe_ids (binary, little-endian unsigned 32-bit; only if `ids`), bpe_n_tokens, bpe_ids_sha256, bpe_decoded_sha256."""
+    docs = apart(docs, "bpe_")
     added = [T.StructField("bpe_n_tokens", T.LongType()), T.StructField("bpe_ids_sha256", T.StringType()), T.StructField("bpe_decoded_sha256", T.StringType())]
     added += [T.StructField("bpe_ids", T.BinaryType())] if ids else []
     kept = [f for f in docs.schema.fields if ids or f.name != text_col]
-    if clash := {f.name for f in added} & set(docs.columns):
-        raise ValueError(f"docs already has {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)

@@ -1,11 +1,12 @@
 """Packing token sequences into bins: best fit decreasing, then a swap-based local search among underfull bins.
 
-The search takes the emptiest bins first and moves a piece, or exchanges one for one, two for one or one for two, with another
-underfull bin, whenever that increases the sum of squared fills; bins that run empty are gone. Pieces are dealt at random to
-groups of a bounded size, packed there; what lies in underfull bins is dealt again to fewer groups, until one group held it.
+The search takes the emptiest bins first and moves a piece or two, or exchanges one for one, two for one, one for two or two for two,
+with another underfull bin, whenever that increases the sum of squared fills; bins that run empty are gone. It sweeps over the
+bins until no exchange gains. Pieces are dealt at random to groups of a bounded size, packed there; what lies in underfull bins is
+dealt again to fewer groups, until one group held it or no fewer would do.
 
 Edge cases. Null or empty text: the closing id alone. Texts of any length are cut, never dropped. Repeated rows are packed each on
-their own. Ties: equal lengths are taken in the order they come. Null id: kept. Empty input: empty output. Other columns are
+their own. Ties: equal lengths are taken in the order they come. Null id: kept. Ids must be integers. Empty input: empty output. Other columns are
 not read.
 """
 
@@ -15,6 +16,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,6 @@ from .pieces import Cache, Splitter, encode_all
 
 GROUP = 65_536
 """Pieces packed together in one task, on average."""
-PAIRS_OF = 24
-"""Bins with more pieces than this offer no pairs to the search."""
 
 
 class Encoder:
@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splitter = Splitter(public_tokenizers.PATTERN, lambda two: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(two)) == 1)
         self.cache = Cache(self.encode_pieces)
         vocabulary = self.tokenizer.get_vocab()
@@ -74,7 +74,12 @@ class Encoder:
             yield np.array(e.ids, "<u4") if len(e) > 500 else array("I", e.ids)
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
-        return encode_all(self.splitter, self.cache, texts)
+        """The ids of each text. A text that spells one of the vocabulary's added tokens goes to the library whole."""
+        for spelled, run in groupby(texts, lambda t: any(a in t for a in self.added)):
+            if spelled:
+                yield from (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in run)
+            else:
+                yield from encode_all(self.splitter, self.cache, run)
 
 
 _loaded: dict[str, Encoder] = {}
@@ -145,10 +150,8 @@ class _Underfull:
         self.at: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))  # room -> size of what it offers -> bins
         self.mask: dict[int, int] = defaultdict(int)
 
-    def sizes(self, b: int) -> set[int]:
-        own = [self.lengths[i] for i in self.bins[b]]
-        pairs = {x + y for k, x in enumerate(own) for y in own[:k]} if len(own) <= PAIRS_OF else set()
-        return {0, *own} | pairs  # 0: nothing in return, a move
+    def sizes(self, b: int) -> list[int]:
+        return [0, *offers(self.bins[b], self.lengths)]  # 0: nothing in return, a move
 
     def add(self, b: int) -> None:
         if 0 < self.fill[b] < self.capacity:
@@ -169,29 +172,45 @@ class _Underfull:
             if not self.at[room]:
                 del self.at[room], self.mask[room]
 
-    def partner(self, size: int, least_fill: int) -> tuple[int, int, int] | None:
-        """(gain, bin, size it gives back): the exchange for `size` that fills a bin at least as full the most."""
+    def partner(self, size: int, fill: int) -> tuple[int, int, int] | None:
+        """(gain, bin, size it gives back): the exchange for `size` of a bin with that fill that moves the most and adds to the squares."""
         best = None
         for room, mask in self.mask.items():
-            if self.capacity - room < least_fill:
-                continue
             low = max(0, size - room)
-            found = (mask >> low) & ((1 << (size - low)) - 1)
+            high = size - max(0, fill - (self.capacity - room))  # the gain must exceed what the donor is ahead
+            found = (mask >> low) & ((1 << (high - low)) - 1) if high > low else 0
             if found:
                 back = low + (found & -found).bit_length() - 1
                 if best is None or size - back > best[0]:
-                    best = (size - back, next(iter(self.at[room][back])), back)
+                    best = (size - back, min(self.at[room][back]), back)
         return best
 
 
+def offers(bin_: list[int], lengths: list[int]) -> list[int]:
+    """The lengths of its pieces and of two of them together, each once; the sums are shifted bit sets, so many pieces cost little."""
+    held: dict[int, int] = defaultdict(int)
+    for i in bin_:
+        held[lengths[i]] += 1
+    ones = sum(1 << n for n in held)
+    both = ones
+    for n, times in held.items():
+        both |= (ones if times > 1 else ones ^ (1 << n)) << n
+    return [n for n in range(both.bit_length()) if both >> n & 1]
+
+
 def _of_size(bin_: list[int], lengths: list[int], size: int) -> list[int]:
     """One piece, or else two, of that size together."""
     if not size:
         return []
+    seen: dict[int, int] = {}
+    two: list[int] = []
     for i in bin_:
         if lengths[i] == size:
             return [i]
-    return next([i, j] for k, i in enumerate(bin_) for j in bin_[:k] if lengths[i] + lengths[j] == size)
+        if not two and size - lengths[i] in seen:
+            two = [i, seen[size - lengths[i]]]
+        seen[lengths[i]] = i
+    return two
 
 
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
@@ -200,24 +219,27 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     open_ = [b for b in range(len(bins)) if 0 < state.fill[b] < capacity]
     for b in open_:
         state.add(b)
-    for donor in sorted(open_, key=lambda b: state.fill[b]):
-        state.remove(donor)
-        while bins[donor] and state.fill[donor] < capacity:
-            own = [lengths[i] for i in bins[donor]]
-            offers = set(own) | ({x + y for k, x in enumerate(own) for y in own[:k]} if len(own) <= PAIRS_OF else set())
-            found = [(p, s) for s in offers if (p := state.partner(s, state.fill[donor]))]
-            if not found:
-                break
-            (gain, other, back), size = max(found)
-            give, take = _of_size(bins[donor], lengths, size), None
-            state.remove(other)
-            take = _of_size(bins[other], lengths, back)
-            bins[donor] = [i for i in bins[donor] if i not in give] + take
-            bins[other] = [i for i in bins[other] if i not in take] + give
-            state.fill[donor] -= gain
-            state.fill[other] += gain
-            state.add(other)
-        state.add(donor)
+    gained = True
+    while gained:  # every exchange adds to the sum of squares, so this ends
+        gained = False
+        for donor in sorted(open_, key=lambda b: (state.fill[b], b)):
+            if not 0 < state.fill[donor] < capacity:
+                continue
+            state.remove(donor)
+            while bins[donor]:
+                found = [(p, s) for s in offers(bins[donor], lengths) if (p := state.partner(s, state.fill[donor]))]
+                if not found:
+                    break
+                (gain, other, back), size = max(found)
+                state.remove(other)
+                give, take = _of_size(bins[donor], lengths, size), _of_size(bins[other], lengths, back)
+                bins[donor] = [i for i in bins[donor] if i not in give] + take
+                bins[other] = [i for i in bins[other] if i not in take] + give
+                state.fill[donor] -= gain
+                state.fill[other] += gain
+                state.add(other)
+                gained = True
+            state.add(donor)
     return [b for b in bins if b]
 
 
@@ -231,7 +253,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) ->
     kinds = dict(pieces.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", sequence_id long, offset long, closed boolean, deal long"
 
-    def packer(round_: int):
+    def packer(groups_before: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             lengths = rows["length"].tolist()
             bins = pack(lengths, capacity)
@@ -242,21 +264,21 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, group: int = GROUP) ->
             first = np.r_[True, of_bin[1:] != of_bin[:-1]]
             base = np.maximum.accumulate(np.where(first, ends - size, 0))
             full = np.bincount(of_bin, weights=size)[of_bin] == capacity
-            return rows.iloc[order][cols].assign(sequence_id=(round_ << 58) + (int(key[0]) << 30) + of_bin, offset=ends - size - base, closed=full, deal=rows["deal"].to_numpy()[order])
+            return rows.iloc[order][cols].assign(sequence_id=-1 - ((groups_before + int(key[0])) * (1 << 28) + of_bin), offset=ends - size - base, closed=full, deal=rows["deal"].to_numpy()[order])
 
         return run
 
-    done, todo, groups = None, pieces, parts(pieces.count(), group)
-    for round_ in range(1, 9):
+    done, todo, groups, round_, base = None, pieces, parts(pieces.count(), group), 0, 0
+    while True:
+        round_ += 1
         dealt = todo.withColumn("grp", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(groups)))
-        packed = staged(dealt.groupBy("grp").applyInPandas(packer(round_), schema), "packed")
+        packed = staged(dealt.groupBy("grp").applyInPandas(packer(base), schema), "packed")
         left = packed.where(~F.col("closed"))
         fewer = parts(left.count(), group)
         if groups == 1 or fewer >= groups:
             return (packed if done is None else done.unionByName(packed)).drop("closed", "deal")
         done = packed.where("closed") if done is None else done.unionByName(packed.where("closed"))
-        todo, groups = left.drop("sequence_id", "offset", "closed"), fewer
-    return done.unionByName(packed.where(~F.col("closed"))).drop("closed", "deal")
+        todo, groups, base = left.drop("sequence_id", "offset", "closed"), fewer, base + groups
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
