@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, near_dedup, packing, pii, toxicity
-from tidemark.llm.common import documents, staged
+from tidemark.llm.common import apart_names, documents, drop_staged, staged, staged_so_far
 
 #: No SQL can express the learned stages; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
@@ -24,7 +24,8 @@ def _with_text(found: DataFrame, text: str, columns: list[str]) -> DataFrame:
     new = {"text": F.when(F.col("text").isNotNull(), F.col(text))}
     if "n_chars" in columns:
         new["n_chars"] = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast("long"))
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+    named = apart_names(columns)
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{named[c]}`").alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
     found = near_dedup.mark(docs, k=5, percent=80)
-    return found.where(F.col("__component").isNull() | (F.col("doc_id") == F.col("__component"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.where(F.col("__component").isNull() | (F.col("doc_id") == F.col("__component"))).select(*[F.col(f"`{new}`").alias(c) for c, new in apart_names(docs.columns).items()])
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +62,8 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("minhash_near_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, for the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), staged_so_far()
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_staged(before, keep=1)  # what the stage worked on and left behind
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,6 +45,33 @@ def test_line_dedup_as_brute_force(spark, hot, monkeypatch):
     assert sorted(map(tuple, got)) == brute(docs)
 
 
+def test_a_hot_key_in_pieces(spark, monkeypatch):
+    line, other = "the one very common line of them all", "a line that one document alone repeats"
+    docs = [(i, "\n".join(["own line of document number %d" % i, line] + [line] * (i % 3))) for i in range(1500)]
+    docs += [(5000, "\n".join([other] * 1200)), (5001, other), (None, line), (None, other)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    assert line_dedup._hot_keys(line_dedup.occurrences(frame, "doc_id", "text", 20)).count() == 2
+    for pieces in (64, 3):
+        monkeypatch.setattr(line_dedup, "PIECES", pieces)
+        got = {r.doc_id if r.doc_id is not None else -len(r["text"]): (r["__n_lines"], r["__n_dropped"]) for r in line_dedup.dedup_lines(frame).collect()}
+        assert all(got[i] == (2 + i % 3, (1 + i % 3) if i < 1499 else 0) for i in range(1500))
+        assert got[5000] == (1200, 1200) and got[5001] == (1, 0) and got[-len(line)] == (1, 1) and got[-len(other)] == (1, 1)
+
+
+@pytest.mark.parametrize("name", ["__runs", "__doc", "__doc0", "__kept", "__text_key", "__text_key0", "__words", "__lines", "__good", "__at", "__windows", "__sorted", "pos", "line", "hot", "piece"])
+def test_clashing_columns(spark, name):
+    frame = spark.createDataFrame([(1, "a b c\nd", "own")], f"doc_id long, text string, `{name}` string")
+    new = f"in_{name}" if name.startswith("__") else name
+    lines, rules = line_dedup.dedup_lines(frame).first(), quality_rules.measure(frame).first()
+    assert (lines[new], lines["__kept"]) == ("own", "a b c\nd") and (rules[new], rules["__n_words"]) == ("own", 4)
+
+
+def test_very_long_text(spark):
+    long_ = "\n".join(["a line that comes back again and again"] * 40000)
+    frame = spark.createDataFrame([(i, long_) for i in range(3)], "doc_id long, text string")
+    assert sorted((r.doc_id, r["__n_dropped"]) for r in line_dedup.dedup_lines(frame).collect()) == [(0, 40000), (1, 40000), (2, 0)]
+
+
 def test_line_dedup_edges(spark):
     line = "one line of twenty and more characters"
     frame = spark.createDataFrame([(None, line), (1, line), (2, line), (2, line), (3, None)], "doc_id long, text string")

@@ -5,7 +5,8 @@ navigation (short items between bars or arrows) or as boilerplate (licence, copy
 nor counted as lost.
 
 Edge cases. Null or empty text: no words, base_failed, not kept, cleaned to "". Very long texts are measured whole; all steps are
-linear or n log n in the words of one text. Repeated rows, null ids and other columns, whatever their names, pass through. Equal
+linear or n log n in the words of one text. Repeated rows, null ids and other columns pass through, columns whose names begin with
+`__` with `in_` before them. Equal
 3-word windows are told by 64 bits of hash within one text.
 """
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, let, pack_words, whole
+from .common import ASCII_SPACE, apart, let, pack_words, whole
 
 SYMBOLS = "#*$%&|<>"
 SHOUTS = r"(?:[!?.*#$%&]{2}[\x20\x09]+[^\x20\x09-\x0D]+[\x20\x09]*){4}"
@@ -43,7 +44,7 @@ def measure(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_re
     """docs with __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __base_failed, __cleaned and __kept."""
     text = whole(F.col(text_col))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
-    df = docs.withColumns({"__words": pack_words(text), "__lines": lines})
+    df = apart(docs).withColumns({"__words": pack_words(text), "__lines": lines})
     df = df.withColumns(
         {
             "__n_words": F.size("__words").cast("long"),
