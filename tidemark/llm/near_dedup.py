@@ -40,6 +40,8 @@ HOT = 1000
 """A key of over 1/HOT of all rows, and HOT rows at least, is hot; fewer than HOT keys can be."""
 SPREAD = 64
 """Tasks that share the rows of a hot centre."""
+BROADCAST_IDS = 200_000
+"""Ids broadcast at most (some 6 MB); more are joined by shuffle."""
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -105,6 +107,12 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.createDataFrame(counts.where(F.col("n") > limit).select(key).collect(), f"`{key}` long")
 
 
+def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of some ids, which are few as a rule; sets that nobody asks for do not travel."""
+    ids = staged(ids.distinct(), "ids")
+    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, sets["doc"] == ids["id"], "left_semi")
+
+
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (staged): c, m, nc, nm -> and `common`: the size of the intersection of the two full sets.
 
@@ -118,6 +126,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("c", "m", "nc", "nm")] + [pa.array(common)], names=["c", "m", "nc", "nm", "common"])
 
     hot = hot_keys(pairs, "c").withColumn("hot", F.lit(True))
+    sets = only(sets, pairs.select(F.explode(F.array("c", "m")).alias("id")))
     pairs = pairs.join(F.broadcast(hot), "c", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("m"), F.lit(SPREAD))).otherwise(0)).drop("hot")
     centres = sets.join(F.broadcast(hot), sets["doc"] == hot["c"], "left").select(F.col("doc").alias("c"), F.col("n").alias("nc"), F.col("set").alias("set_c"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
     # Rows that share an id may have several sets under it; the size tells which is meant.
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     units = staged(units.distinct(), "units")
     mixed = units.groupBy("u", "label").agg(F.count("*").alias("held")).groupBy("u").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = staged(units.join(mixed.select("u", F.col("most.label").alias("most")), "u").select("u", "rep", "label", (F.col("label") == F.col("most")).alias("main")), "open")
-    more = staged(_blocks(open_, sets, percent, block), "more")
+    more = staged(_blocks(open_, only(sets, open_.select(F.col("rep").alias("id"))), percent, block), "more")
     joined = components(more)
     label2 = label1.join(joined.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
     alone = joined.join(label1, "node", "left_anti")  # joined by blocks alone
