@@ -35,6 +35,11 @@ def hlc_receive(wall_ms: Column, last: Column, remote: Column) -> Column:
     return hlc(F.when(wall, wall_ms).otherwise(F.greatest(lm, rm)), F.least(logical, F.lit(MAX_LOGICAL)))
 
 
+def sort_key_hex(stamp: Column, node: Column, sequence: Column) -> Column:
+    """The 128-bit key as 32 hex digits, which sort as the key does: the stamp, then 16 bits of node and 48 of sequence."""
+    return F.lower(F.concat(F.lpad(F.hex(stamp), 16, "0"), F.lpad(F.hex(F.shiftleft(node, 48).bitwiseOR(sequence)), 16, "0")))
+
+
 def clock_health(drift_ms: Column) -> Column:
     return F.when(F.abs(drift_ms) > 1000, "critical").when(F.abs(drift_ms) > 100, "degraded").otherwise("healthy")
 

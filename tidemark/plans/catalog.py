@@ -1,550 +1,6 @@
 """Every registered query of the log operators, next to the DuckDB SQL it is held against."""
 
-from __future__ import annotations
+from . import decision_queries, group_queries, integrity_queries, metadata_queries, metric_queries, order_queries, record_queries, scan_queries, segment_queries
+from .base import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
-from pyspark.sql import functions as F
-
-from ..functions import scalars as S
-from ..operators import log as L
-from ..operators import scans
-from ..operators.fold import fold
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-NOW_NS = 1_706_745_600_000_000_000  # 2024-02-01
-DAY_NS = 86_400_000_000_000
-START_NS, END_NS = 1_704_844_800_000_000_000, 1_705_276_800_000_000_000  # 10 to 15 January 2024
-HOUR_NS = 3_600_000_000_000
-
-LOG = """WITH RECURSIVE log AS (
-  SELECT event_type AS topic, dense_rank() OVER (ORDER BY event_type) AS topic_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS record_index,
-         event_id, user_id, value, epoch_us(ts) * 1000 AS ts_ns, coalesce(props, '') AS payload, 5 + octet_length(encode(coalesce(props, ''))) AS total_size,
-         CAST(coalesce(sum(5 + octet_length(encode(coalesce(props, '')))) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
-  FROM events), seg0 AS (
-  SELECT topic, topic_id, record_index // 250 AS seg, min(record_index) AS start_index, max(record_index) AS end_index, min(ts_ns) AS start_ns, max(ts_ns) AS last_ns, CAST(sum(total_size) AS BIGINT) AS size_bytes, count(*) AS records
-  FROM log GROUP BY ALL), seg AS (
-  SELECT *, seg = max(seg) OVER (PARTITION BY topic) AS is_active, CASE WHEN seg <> max(seg) OVER (PARTITION BY topic) THEN last_ns END AS end_ns FROM seg0), ends AS (
-  SELECT topic, topic_id, CAST(sum(total_size) AS BIGINT) AS end_offset, count(*) AS records FROM log GROUP BY ALL), tidx AS (
-  SELECT topic, record_index, ts_ns, byte_offset FROM (SELECT *, lag(ts_ns // 3600000000000) OVER (PARTITION BY topic ORDER BY record_index) AS p FROM log) WHERE p IS NULL OR p <> ts_ns // 3600000000000), probe AS (
-  SELECT topic, ts_ns + 600000000000 AS t FROM log WHERE record_index % 40 = 0 UNION SELECT topic, ts_ns AS t FROM tidx WHERE record_index % 30 = 0), lat AS (
-  SELECT event_id, event_type AS topic, user_id, CAST(floor(value * 1000 + 0.5) AS BIGINT) AS us FROM events), commits AS (
-  SELECT topic, topic_id, user_id % 5 AS consumer_id, row_number() OVER (PARTITION BY topic, user_id % 5 ORDER BY event_id) AS commit_seq,
-         CASE WHEN record_index % 70 = 0 THEN byte_offset // 2 ELSE byte_offset END AS off FROM log WHERE record_index % 10 = 0), msgs AS (
-  SELECT user_id % 4 AS run_id, event_id AS seq, event_id + CASE WHEN event_id % 50 = 0 THEN 7 ELSE 0 END AS arrival, 0 AS copy FROM events WHERE event_id % 97 <> 0
-  UNION ALL SELECT user_id % 4, event_id, event_id + 20, 1 FROM events WHERE event_id % 101 = 0 AND event_id % 97 <> 0), exp AS (
-  SELECT *, coalesce(max(seq) OVER (ORDER BY arrival, seq, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, seq) AS expected FROM msgs)
-"""
-
-
-def query(name: str, sql: str | None, log: bool = True):
-    """Register a query with its SQL; `log`: the SQL stands on the log view."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = (LOG if log else "") + sql
-        return f
-
-    return put
-
-
-def plain(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame], log: bool = True) -> None:
-    """A query of the log records alone."""
-    query(name, sql, log)(lambda spark, d: f(L.log_records(spark, d)))
-
-
-# ---- the inputs derived from events, as LOG derives them
-def _hour_index(r: DataFrame) -> DataFrame:
-    return L.time_index(r, HOUR_NS)
-
-
-def _probes(r: DataFrame) -> DataFrame:
-    return r.where("record_index % 40 = 0").select("topic", (F.col("ts_ns") + 600_000_000_000).alias("t")).union(_hour_index(r).where("record_index % 30 = 0").select("topic", F.col("ts_ns").alias("t"))).distinct()
-
-
-def _latencies(spark: SparkSession, d: str) -> DataFrame:
-    return L.table(spark, d, "events").select("event_id", F.col("event_type").alias("topic"), "user_id", F.floor(F.col("value") * 1000 + 0.5).cast("long").alias("us"))
-
-
-def _commits(r: DataFrame) -> DataFrame:
-    off = F.when(F.col("record_index") % 70 == 0, F.expr("byte_offset div 2")).otherwise(F.col("byte_offset"))
-    rows = r.where("record_index % 10 = 0").select("topic", "topic_id", (F.col("user_id") % 5).alias("consumer_id"), "event_id", off.alias("off"))
-    return rows.withColumn("commit_seq", F.row_number().over(Window.partitionBy("topic", "consumer_id").orderBy("event_id")).cast("long")).drop("event_id")
-
-
-def _messages(spark: SparkSession, d: str) -> DataFrame:
-    e = L.table(spark, d, "events").where("event_id % 97 <> 0")
-    first = e.select((F.col("user_id") % 4).alias("run_id"), F.col("event_id").alias("seq"), (F.col("event_id") + F.when(F.col("event_id") % 50 == 0, 7).otherwise(0)).alias("arrival"), F.lit(0).alias("copy"))
-    return first.union(e.where("event_id % 101 = 0").select(F.col("user_id") % 4, "event_id", F.col("event_id") + 20, F.lit(1)))
-
-
-def _expected(m: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """seq with the one expected: one past the largest before. Two levels of running maxima, by blocks of arrival."""
-    m = m.withColumn("blk", F.expr(f"arrival div {block}"))
-    before = m.groupBy("blk").agg(F.max("seq").alias("top")).withColumn("base", F.max("top").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
-    inside = F.max("seq").over(Window.partitionBy("blk").orderBy("arrival", "seq", "copy").rowsBetween(Window.unboundedPreceding, -1))
-    return m.withColumn("top", inside).join(F.broadcast(before), "blk").withColumn("expected", F.coalesce(F.greatest("top", "base") + 1, F.col("seq"))).drop("blk", "top", "base")
-
-
-# ---- scans, filters, seeks
-plain("topic_scan", "SELECT topic, topic_id, record_index, event_id, ts_ns, total_size, byte_offset FROM log", lambda r: r.select("topic", "topic_id", "record_index", "event_id", "ts_ns", "total_size", "byte_offset"))
-plain("record_sizes", "SELECT event_id, total_size, octet_length(encode(payload)) AS payload_size FROM log", lambda r: r.select("event_id", "total_size", F.octet_length("payload").cast("long").alias("payload_size")))
-query("line_batches", "SELECT event_id // 100 AS batch, count(*) AS lines, CAST(sum(octet_length(encode(coalesce(props, '')))) AS BIGINT) AS bytes FROM events GROUP BY ALL", log=False)(
-    lambda s, d: L.table(s, d, "events").groupBy(F.expr("event_id div 100").alias("batch")).agg(F.count("*").alias("lines"), F.sum(F.octet_length(F.coalesce("props", F.lit("")))).alias("bytes"))
-)
-plain("fetch_bytes", "SELECT topic, record_index, greatest(5000 - byte_offset, 0) AS skip, least(byte_offset + total_size, 13192) - greatest(byte_offset, 5000) AS length FROM log WHERE byte_offset + total_size > 5000 AND byte_offset < 13192", lambda r: scans.fetch_bytes(r, 5000, 8192))
-plain("fetch_records", "SELECT topic, record_index, byte_offset, total_size FROM log WHERE byte_offset >= 5000 AND byte_offset + total_size <= 13192", lambda r: scans.fetch_records(r, 5000, 8192).select("topic", "record_index", "byte_offset", "total_size"))
-plain("topic_end_offset", "SELECT topic, end_offset FROM ends", scans.end_offsets)
-_REQUESTS = [("click", None), ("click", 0), ("view", 10**12), ("nowhere", 0), ("purchase", 64), ("nowhere", 5)]
-_REQ_SQL = "req AS (SELECT * FROM (VALUES ('click', NULL), ('click', 0), ('view', 1000000000000), ('nowhere', 0), ('purchase', 64), ('nowhere', 5)) v(topic, start))"
-
-
-def _requests(s: SparkSession) -> DataFrame:
-    return s.createDataFrame(_REQUESTS, "topic string, start long")
-
-
-query("fetch_status", f", {_REQ_SQL} SELECT r.topic, CAST(r.start AS BIGINT) AS start, CASE WHEN start IS NULL THEN 'TAIL' WHEN start > coalesce(end_offset, 0) THEN 'CATCHING_UP' WHEN start = coalesce(end_offset, 0) THEN 'EMPTY' ELSE 'RESPONSE' END AS status, CAST(CASE WHEN start IS NULL OR start > coalesce(end_offset, 0) THEN coalesce(end_offset, 0) ELSE start END AS BIGINT) AS next_offset FROM req r LEFT JOIN ends e ON r.topic = e.topic")(
-    lambda s, d: scans.fetch_status(_requests(s), scans.end_offsets(L.log_records(s, d)))
-)
-query("seek_end", "SELECT topic, end_offset AS next_offset, 0 AS bytes FROM ends")(lambda s, d: scans.end_offsets(L.log_records(s, d)).select("topic", F.col("end_offset").alias("next_offset"), F.lit(0).cast("int").alias("bytes")))
-plain("sparse_index", "SELECT topic, record_index, (ts_ns // 1000000) * 1048576 AS hlc, ts_ns, byte_offset FROM log WHERE record_index % 64 = 0", lambda r: L.sparse_index(r, 64))
-plain("seek_record", "SELECT l.topic, l.record_index AS r, i.byte_offset FROM log l JOIN log i ON i.topic = l.topic AND i.record_index = l.record_index // 64 * 64 WHERE l.record_index % 37 = 5", lambda r: scans.seek_record(L.sparse_index(r, 64), r.where("record_index % 37 = 5").select("topic", F.col("record_index").alias("r")), 64))
-plain("sparse_search", "SELECT p.topic, p.t AS x, CAST(count(i.ts_ns) FILTER (WHERE i.ts_ns < p.t) AS BIGINT) AS rank, coalesce(bool_or(i.ts_ns = p.t), FALSE) AS exact FROM probe p LEFT JOIN log i ON i.topic = p.topic AND i.record_index % 64 = 0 GROUP BY p.topic, p.t", lambda r: scans.search(L.sparse_index(r, 64), _probes(r).select("topic", F.col("t").alias("x")), "ts_ns"))
-plain("time_index", "SELECT topic, record_index, ts_ns, byte_offset FROM tidx", _hour_index)
-plain("time_index_default", "SELECT topic, record_index, ts_ns, byte_offset FROM (SELECT *, lag(ts_ns // 10000000) OVER (PARTITION BY topic ORDER BY record_index) AS p FROM log) WHERE p IS NULL OR p <> ts_ns // 10000000", L.time_index)
-
-
-@query("time_range", f"SELECT event_id, event_type AS topic, epoch_us(ts) * 1000 AS ts_ns, value FROM events WHERE epoch_us(ts) * 1000 BETWEEN {START_NS} AND {END_NS}", log=False)
-def _time_range(s: SparkSession, d: str) -> DataFrame:
-    return L.time_filtered(s, d, START_NS, END_NS).select("event_id", F.col("event_type").alias("topic"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "value")
-
-
-plain("time_range_jitter", f"SELECT topic, record_index, ts_ns, byte_offset FROM tidx WHERE ts_ns BETWEEN {START_NS} AND {END_NS}", lambda r: _hour_index(r).where(F.col("ts_ns").between(START_NS - 10_000_000, END_NS + 10_000_000)).where(F.col("ts_ns").between(START_NS, END_NS)))
-plain("nearest", "SELECT p.topic, p.t, arg_min(i.ts_ns, abs(i.ts_ns - p.t)::HUGEINT * 4 + (i.ts_ns > p.t)::INT) AS nearest_ns FROM probe p JOIN tidx i ON i.topic = p.topic GROUP BY p.topic, p.t", lambda r: scans.nearest(_hour_index(r), _probes(r)))
-plain("exists_in_window", f"SELECT p.topic, p.t, coalesce(bool_or(i.ts_ns IS NOT NULL), FALSE) AS found FROM probe p LEFT JOIN tidx i ON i.topic = p.topic AND i.ts_ns BETWEEN p.t - {HOUR_NS} AND p.t + {HOUR_NS} GROUP BY p.topic, p.t", lambda r: (p := _probes(r)).join(scans.in_window(_hour_index(r), p, HOUR_NS).select("topic", "t", F.lit(True).alias("f")).distinct(), ["topic", "t"], "left").select("topic", "t", F.coalesce("f", F.lit(False)).alias("found")))
-plain(
-    "point_in_time",
-    f", a AS (SELECT p.topic, p.t, count(i.ts_ns) FILTER (WHERE i.ts_ns BETWEEN p.t - {HOUR_NS} AND p.t + {HOUR_NS}) AS entries, coalesce(bool_or(i.ts_ns = p.t), FALSE) AS exact, max(i.ts_ns) FILTER (WHERE i.ts_ns < p.t - {HOUR_NS}) AS b, min(i.ts_ns) FILTER (WHERE i.ts_ns > p.t + {HOUR_NS}) AS f FROM probe p LEFT JOIN tidx i ON i.topic = p.topic GROUP BY p.topic, p.t) SELECT topic, t, entries, exact, CASE WHEN NOT exact THEN b END AS before_ns, CASE WHEN NOT exact THEN f END AS after_ns FROM a",
-    lambda r: scans.point_in_time(_hour_index(r), _probes(r), HOUR_NS),
-)
-plain("index_summary", "SELECT topic, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, arg_max(byte_offset, record_index) AS last_offset, count(*) AS entries FROM tidx GROUP BY topic", lambda r: _hour_index(r).groupBy("topic").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.max_by("byte_offset", "record_index").alias("last_offset"), F.count("*").alias("entries")))
-plain("dump_records", "SELECT topic, byte_offset, total_size, total_size - 5 AS payload_size FROM log ORDER BY topic, byte_offset LIMIT 20", lambda r: r.orderBy("topic", "byte_offset").limit(20).select("topic", "byte_offset", "total_size", (F.col("total_size") - 5).alias("payload_size")))
-query("record_type_counts", "SELECT CASE b WHEN 1 THEN 'Data' WHEN 2 THEN 'Tombstone' WHEN 3 THEN 'Transaction' WHEN 4 THEN 'Checkpoint' WHEN 5 THEN 'Schema' WHEN 16 THEN 'Compressed' ELSE CASE WHEN b BETWEEN 128 AND 254 THEN 'UserDefined' ELSE 'Unknown' END END AS record_type, count(*) AS records FROM (SELECT event_id % 256 AS b FROM events) GROUP BY 1", log=False)(
-    lambda s, d: L.table(s, d, "events").groupBy(scans.type_name(F.col("event_id") % 256).alias("record_type")).agg(F.count("*").alias("records"))
-)
-query("topic_lookup", "SELECT topic, topic_id FROM ends WHERE topic = 'click' OR topic_id = 2")(lambda s, d: L.topics(s, d).where("topic = 'click' OR topic_id = 2"))
-query("valid_topic_names", "SELECT DISTINCT name, regexp_matches(name, '^[A-Za-z0-9-]+\\z') AS valid FROM (SELECT event_type AS name FROM events UNION SELECT c_name FROM customer UNION SELECT '')", log=False)(
-    lambda s, d: L.table(s, d, "events").select(F.col("event_type").alias("name")).union(L.table(s, d, "customer").select("c_name")).union(s.sql("SELECT ''")).distinct().withColumn("valid", scans.valid_topic_name(F.col("name")))
-)
-query("topic_identity", "SELECT v.topic, v.epoch, CASE WHEN e.topic_id IS NULL THEN 'unknown' WHEN e.topic_id <> v.epoch THEN 'stale' ELSE 'ok' END AS identity FROM (VALUES ('click', 1), ('click', 7), ('none', 1)) v(topic, epoch) LEFT JOIN ends e ON v.topic = e.topic")(
-    lambda s, d: s.createDataFrame([("click", 1), ("click", 7), ("none", 1)], "topic string, epoch int").join(L.topics(s, d), "topic", "left").select("topic", "epoch", F.when(F.col("topic_id").isNull(), "unknown").when(F.col("topic_id") != F.col("epoch"), "stale").otherwise("ok").alias("identity"))
-)
-
-# ---- clocks and order
-def _ms() -> Column:
-    return F.expr("ts_ns div 1000000")
-
-
-plain("hlc_pack", "SELECT event_id, (ts_ns // 1000000) * 1048576 + event_id % 1048576 AS hlc, ts_ns // 1000000 AS ms, event_id % 1048576 AS logical FROM log", lambda r: r.select("event_id", S.hlc(_ms(), F.col("event_id") % 1048576).alias("hlc")).select("event_id", "hlc", S.hlc_ms(F.col("hlc")).alias("ms"), S.hlc_logical(F.col("hlc")).alias("logical")))
-plain("hlc_sequence", ", m AS (SELECT topic, record_index, max(ts_ns // 86400000000000) OVER (PARTITION BY topic ORDER BY record_index) AS ms FROM log) SELECT topic, record_index, ms, row_number() OVER (PARTITION BY topic, ms ORDER BY record_index) - 1 AS logical FROM m", lambda r: r.withColumn("ms", F.max(F.expr(f"ts_ns div {DAY_NS}")).over(Window.partitionBy("topic").orderBy("record_index"))).select("topic", "record_index", "ms", (F.row_number().over(Window.partitionBy("topic", "ms").orderBy("record_index")) - 1).cast("long").alias("logical")))
-plain(
-    "hlc_merge",
-    ", m AS (SELECT event_id, ts_ns // 1000000 AS w, ts_ns // 1000000 - 2 + event_id % 5 AS lm, event_id % 7 AS ll, ts_ns // 1000000 - 2 + event_id % 3 * 2 AS rm, CASE WHEN event_id % 11 = 0 THEN 1048575 ELSE event_id % 9 END AS rl FROM log) SELECT event_id, CASE WHEN w > lm AND w > rm THEN w ELSE greatest(lm, rm) END * 1048576 + least(CASE WHEN w > lm AND w > rm THEN 0 WHEN lm > rm THEN ll + 1 WHEN rm > lm THEN rl + 1 ELSE greatest(ll, rl) + 1 END, 1048575) AS hlc FROM m",
-    lambda r: r.select("event_id", S.hlc_receive(_ms(), S.hlc(_ms() - 2 + F.col("event_id") % 5, F.col("event_id") % 7), S.hlc(_ms() - 2 + F.col("event_id") % 3 * 2, F.when(F.col("event_id") % 11 == 0, F.lit(1048575)).otherwise(F.col("event_id") % 9))).alias("hlc")),
-)
-plain("clock_health", "SELECT event_id, CASE WHEN abs(d) > 1000 THEN 'critical' WHEN abs(d) > 100 THEN 'degraded' ELSE 'healthy' END AS health FROM (SELECT event_id, event_id % 3000 - 1500 AS d FROM log)", lambda r: r.select("event_id", S.clock_health(F.col("event_id") % 3000 - 1500).alias("health")))
-plain("total_order", "SELECT event_id, row_number() OVER (PARTITION BY topic ORDER BY ts_ns // 86400000000000, user_id % 3, event_id) AS place FROM log", lambda r: r.select("event_id", F.row_number().over(Window.partitionBy("topic").orderBy(F.expr(f"ts_ns div {DAY_NS}"), F.col("user_id") % 3, "event_id")).cast("long").alias("place")))
-plain("sort_key", "SELECT event_id, (ts_ns // 1000000) * 1048576 AS hlc, CAST(0 AS INTEGER) AS node_id, record_index AS sequence FROM log", lambda r: r.select("event_id", S.hlc(_ms(), F.lit(0)).alias("hlc"), F.lit(0).alias("node_id"), F.col("record_index").alias("sequence")))
-plain("fencing", "SELECT event_id, (user_id % 5 > 2 OR (user_id % 5 = 2 AND user_id % 3 >= 1)) AS accepted FROM log", lambda r: r.select("event_id", (F.struct(F.col("user_id") % 5, F.col("user_id") % 3) >= F.struct(F.lit(2).cast("long"), F.lit(1).cast("long"))).alias("accepted")))
-
-# ---- segment lifecycle
-def _seg(r: DataFrame) -> DataFrame:
-    return L.segments(r)
-
-
-def _roll(limit: int):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out, seg, used = [], 0, 0
-        for size in rows["total_size"]:
-            out.append(seg)
-            used += size
-            if used >= limit:
-                seg, used = seg + 1, 0
-        return rows[["topic", "record_index"]].assign(segment=out)
-
-    return step
-
-
-plain(
-    "segment_roll",
-    ", roll(topic, record_index, segment, used) AS (SELECT topic, record_index, 0::BIGINT, total_size::BIGINT FROM log WHERE record_index = 0 UNION ALL SELECT l.topic, l.record_index, CASE WHEN r.used >= 10000 THEN r.segment + 1 ELSE r.segment END, CASE WHEN r.used >= 10000 THEN 0 ELSE r.used END + l.total_size FROM roll r JOIN log l ON l.topic = r.topic AND l.record_index = r.record_index + 1) SELECT topic, record_index, segment FROM roll",
-    lambda r: fold(r.select("topic", "record_index", "total_size"), ["topic"], ["record_index"], "topic string, record_index long, segment long", _roll(10_000)),
-)
-plain("next_segment_index", "SELECT topic, coalesce(max(end_index) + 1, 0) AS next_index FROM seg GROUP BY topic", lambda r: _seg(r).groupBy("topic").agg(F.coalesce(F.max("end_index") + 1, F.lit(0)).alias("next_index")))
-_NAME = "start_index || '_' || start_ns || coalesce('-' || end_ns, '') || '.lnc'"
-plain("sealed_names", f"SELECT topic, {_NAME} AS name FROM seg WHERE NOT is_active", lambda r: _seg(r).where("NOT is_active").select("topic", L.segment_name(F.col("start_index"), F.col("start_ns"), F.col("end_ns")).alias("name")))
-
-
-def _meta(r: DataFrame) -> DataFrame:
-    named = _seg(r).select("topic", L.segment_name(F.col("start_index"), F.col("start_ns"), F.col("end_ns")).alias("name"))
-    part = lambda i: F.regexp_extract("name", r"^(\d+)_(\d+)(?:-(\d+))?\.lnc$", i)
-    return named.select("topic", "name", part(1).cast("long").alias("start_index"), part(2).cast("long").alias("start_ns"), F.when(part(3) != "", part(3)).cast("long").alias("end_ns"), (part(3) == "").alias("is_active"))
-
-
-plain("segment_meta", f"SELECT topic, {_NAME} AS name, start_index, start_ns, end_ns, is_active FROM seg", _meta)
-def _aged() -> Column:
-    return F.col("end_ns").isNotNull() & (F.lit(NOW_NS) - F.col("end_ns") > 15 * DAY_NS)
-
-
-plain("retention_age", f"SELECT topic, seg, size_bytes FROM seg WHERE end_ns IS NOT NULL AND {NOW_NS} - end_ns > {15 * DAY_NS}", lambda r: _seg(r).where(_aged()).select("topic", "seg", "size_bytes"))
-
-
-def _by_size(r: DataFrame, most: int = 20_000) -> DataFrame:
-    left = _seg(r).where(~F.coalesce(_aged(), F.lit(False)))
-    excess = left.groupBy("topic").agg((F.sum("size_bytes") - most).alias("excess"))
-    before = F.coalesce(F.sum("size_bytes").over(Window.partitionBy("topic").orderBy("start_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return left.where("NOT is_active").withColumn("freed", before).join(excess, "topic").where("excess > 0 AND freed < excess").select("topic", "seg", "size_bytes")
-
-
-_SIZED = f", kept AS (SELECT *, sum(size_bytes) OVER (PARTITION BY topic) - 20000 AS excess FROM seg WHERE NOT coalesce({NOW_NS} - end_ns > {15 * DAY_NS}, FALSE)), cut AS (SELECT * FROM (SELECT *, coalesce(sum(size_bytes) OVER (PARTITION BY topic ORDER BY start_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM kept WHERE NOT is_active) WHERE excess > 0 AND freed < excess)"
-plain("retention_size", _SIZED + " SELECT topic, seg, size_bytes FROM cut", _by_size)
-plain("retention_plan", _SIZED + f" SELECT topic, count(*) AS segments, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT topic, size_bytes FROM cut UNION ALL SELECT topic, size_bytes FROM seg WHERE end_ns IS NOT NULL AND {NOW_NS} - end_ns > {15 * DAY_NS}) GROUP BY topic", lambda r: _by_size(r).union(_seg(r).where(_aged()).select("topic", "seg", "size_bytes")).groupBy("topic").agg(F.count("*").alias("segments"), F.sum("size_bytes").alias("bytes")))
-plain("compaction_trigger", "SELECT topic, count(*) FILTER (WHERE size_bytes < 1048576 AND NOT is_active) >= 4 AS compact FROM seg GROUP BY topic", lambda r: _seg(r).groupBy("topic").agg((F.count_if((F.col("size_bytes") < 1 << 20) & ~F.col("is_active")) >= 4).alias("compact")))
-
-
-def _select_for_compaction(rows: pd.DataFrame, most: int = 60_000) -> pd.DataFrame:
-    taken, total, last = [], 0, None
-    for i, row in enumerate(rows.itertuples()):
-        if total + row.size_bytes > most:
-            break
-        if last is not None and row.start_index > last + 1:
-            continue
-        taken.append(i)
-        total, last = total + row.size_bytes, row.end_index
-        if len(taken) >= 16:
-            break
-    return rows.iloc[taken][["topic", "seg", "size_bytes"]]
-
-
-plain(
-    "compaction_select",
-    ", c AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY start_index) AS k FROM seg WHERE NOT is_active AND seg % 5 <> 3), pick(topic, k, seg, size_bytes, take, total, last, n, stop) AS (SELECT topic, k, seg, size_bytes, size_bytes <= 60000, CASE WHEN size_bytes <= 60000 THEN size_bytes ELSE 0 END, CASE WHEN size_bytes <= 60000 THEN end_index END, CASE WHEN size_bytes <= 60000 THEN 1 ELSE 0 END, size_bytes > 60000 FROM c WHERE k = 1 UNION ALL SELECT c.topic, c.k, c.seg, c.size_bytes, t.go, p.total + CASE WHEN t.go THEN c.size_bytes ELSE 0 END, CASE WHEN t.go THEN c.end_index ELSE p.last END, p.n + CASE WHEN t.go THEN 1 ELSE 0 END, p.stop OR p.total + c.size_bytes > 60000 FROM pick p JOIN c ON c.topic = p.topic AND c.k = p.k + 1, LATERAL (SELECT NOT p.stop AND p.n < 16 AND p.total + c.size_bytes <= 60000 AND (p.last IS NULL OR c.start_index <= p.last + 1) AS go) t) SELECT topic, seg, size_bytes FROM pick WHERE take",
-    lambda r: fold(_seg(r).where("NOT is_active AND seg % 5 <> 3"), ["topic"], ["start_index"], "topic string, seg long, size_bytes long", _select_for_compaction),
-)
-_TIER_SQL = ", tiers AS (SELECT *, CASE seg % 4 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' WHEN 2 THEN 'cold' ELSE 'archive' END AS tier, 1706745600000000000 - coalesce(end_ns, last_ns) AS age_ns FROM seg)"
-
-
-def _tiers(r: DataFrame) -> DataFrame:
-    tier = F.element_at(F.array(*map(F.lit, ("hot", "warm", "cold", "archive"))), (F.col("seg") % 4 + 1).cast("int"))
-    return _seg(r).withColumns({"tier": tier, "age_ns": F.lit(NOW_NS) - F.col("last_ns")})
-
-
-plain("tier_scan", _TIER_SQL + " SELECT topic, seg, tier, age_ns, row_number() OVER (PARTITION BY tier ORDER BY age_ns DESC, topic, seg) AS place FROM tiers", lambda r: _tiers(r).select("topic", "seg", "tier", "age_ns", F.row_number().over(Window.partitionBy("tier").orderBy(F.col("age_ns").desc(), "topic", "seg")).cast("long").alias("place")))
-plain("next_tier", _TIER_SQL + " SELECT topic, seg, tier, CASE tier WHEN 'hot' THEN 'warm' WHEN 'warm' THEN 'cold' WHEN 'cold' THEN 'archive' END AS next FROM tiers", lambda r: _tiers(r).select("topic", "seg", "tier", S.next_tier(F.col("tier")).alias("next")))
-plain("tier_moves", _TIER_SQL + f" SELECT topic, seg, tier FROM tiers WHERE tier <> 'archive' AND age_ns > CASE tier WHEN 'hot' THEN {5 * DAY_NS} WHEN 'warm' THEN {15 * DAY_NS} ELSE {25 * DAY_NS} END", lambda r: _tiers(r).where((F.col("tier") != "archive") & (F.col("age_ns") > F.when(F.col("tier") == "hot", 5 * DAY_NS).when(F.col("tier") == "warm", 15 * DAY_NS).otherwise(25 * DAY_NS))).select("topic", "seg", "tier"))
-plain("tier_stats", _TIER_SQL + " SELECT tier, count(*) AS segments, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM tiers GROUP BY tier", lambda r: _tiers(r).groupBy("tier").agg(F.count("*").alias("segments"), F.sum("size_bytes").alias("bytes")))
-plain("recovery_candidates", "SELECT topic, seg FROM seg WHERE is_active OR seg % 7 = 2", lambda r: _seg(r).where("is_active OR seg % 7 = 2").select("topic", "seg"))
-plain("empty_segments", "SELECT topic, seg FROM seg WHERE size_bytes - CASE WHEN seg % 6 = 1 THEN size_bytes ELSE 0 END = 0", lambda r: _seg(r).withColumn("left", F.when(F.col("seg") % 6 == 1, 0).otherwise(F.col("size_bytes"))).where("left = 0").select("topic", "seg"))
-query("orphaned_topics", "SELECT DISTINCT c_mktsegment AS directory FROM customer WHERE lower(c_mktsegment) NOT IN (SELECT topic FROM ends)")(lambda s, d: L.table(s, d, "customer").select(F.col("c_mktsegment").alias("directory")).distinct().join(L.topics(s, d), F.lower("directory") == F.col("topic"), "left_anti"))
-plain("verify_counts", "SELECT topic, seg, records FROM seg", lambda r: _seg(r).select("topic", "seg", "records"))
-plain("log_compaction_point", "SELECT topic, CASE WHEN records > 1000 THEN records - 100 END AS compact_before FROM ends", lambda r: r.groupBy("topic").agg(F.count("*").alias("n")).select("topic", F.when(F.col("n") > 1000, F.col("n") - 100).alias("compact_before")))
-
-# ---- consumers and groups
-plain("poll_batches", "SELECT topic, byte_offset // 4096 AS poll, count(*) AS records, CAST(max(byte_offset + total_size) AS BIGINT) AS next_offset, max(byte_offset + total_size) = any_value(e.end_offset) AS end_of_stream FROM log JOIN ends e USING (topic) GROUP BY topic, byte_offset // 4096", lambda r: r.groupBy("topic", F.expr("byte_offset div 4096").alias("poll")).agg(F.count("*").alias("records"), F.max(F.col("byte_offset") + F.col("total_size")).alias("next_offset")).join(scans.end_offsets(r), "topic").select("topic", "poll", "records", "next_offset", (F.col("next_offset") == F.col("end_offset")).alias("end_of_stream")))
-plain("seek_modes", "SELECT topic, mode, CAST(CASE mode WHEN 'beginning' THEN 0 WHEN 'end' THEN end_offset ELSE 128 END AS BIGINT) AS position FROM ends, (VALUES ('beginning'), ('end'), ('offset')) m(mode)", lambda r: scans.end_offsets(r).select("topic", "end_offset", F.explode(F.array(*map(F.lit, ("beginning", "end", "offset")))).alias("mode")).select("topic", "mode", F.when(F.col("mode") == "beginning", F.lit(0)).when(F.col("mode") == "end", F.col("end_offset")).otherwise(128).cast("long").alias("position")))
-
-
-def _state(r: DataFrame) -> DataFrame:
-    return _commits(r).groupBy("topic", "consumer_id").agg(F.max_by("off", "commit_seq").alias("committed"), F.max("off").alias("position"))
-
-
-_STATE = ", st AS (SELECT topic, consumer_id, arg_max(off, commit_seq) AS committed, max(off) AS position FROM commits GROUP BY ALL)"
-plain("offset_latest", _STATE + " SELECT topic, consumer_id, committed FROM st", lambda r: _state(r).select("topic", "consumer_id", "committed"))
-plain("commit_state", "SELECT topic, consumer_id, commit_seq, off AS committed, max(off) OVER (PARTITION BY topic, consumer_id ORDER BY commit_seq) AS position FROM commits", lambda r: _commits(r).select("topic", "consumer_id", "commit_seq", F.col("off").alias("committed"), F.max("off").over(Window.partitionBy("topic", "consumer_id").orderBy("commit_seq")).alias("position")))
-plain("commit_deltas", "SELECT topic, consumer_id, commit_seq, off - lag(off) OVER (PARTITION BY topic, consumer_id ORDER BY commit_seq) AS delta FROM commits", lambda r: _commits(r).select("topic", "consumer_id", "commit_seq", (F.col("off") - F.lag("off").over(Window.partitionBy("topic", "consumer_id").orderBy("commit_seq"))).alias("delta")))
-plain("consumer_lag", _STATE + " SELECT topic, consumer_id, end_offset - committed AS lag FROM st JOIN ends USING (topic)", lambda r: _state(r).join(scans.end_offsets(r), "topic").select("topic", "consumer_id", (F.col("end_offset") - F.col("committed")).alias("lag")))
-_ASK = "(VALUES (0), (NULL), (777)) q(ask)"
-
-
-def _asks(r: DataFrame, keep: str) -> DataFrame:
-    return r.select("topic").distinct().crossJoin(r.sparkSession.createDataFrame([(0,), (None,), (777,)], "ask long")).crossJoin(r.sparkSession.range(7).withColumnRenamed("id", "consumer_id")).join(_state(r), ["topic", "consumer_id"], "left").join(scans.end_offsets(r), "topic").select("topic", "consumer_id", "ask", F.expr(keep).alias("start"))
-
-
-_ASKED = _STATE + f", asked AS (SELECT e.topic, c.consumer_id, CAST(q.ask AS BIGINT) AS ask, st.committed, e.end_offset FROM ends e, {_ASK}, (SELECT unnest(range(7)) AS consumer_id) c LEFT JOIN st ON st.topic = e.topic AND st.consumer_id = c.consumer_id)"
-_RESOLVE, _RESUME = "CASE WHEN ask IS NULL THEN end_offset WHEN ask = 0 THEN coalesce(committed, 0) ELSE ask END", "coalesce(committed, ask, 0)"
-plain("resolve_start", _ASKED + f" SELECT topic, consumer_id, ask, {_RESOLVE} AS start FROM asked", lambda r: _asks(r, _RESOLVE))
-plain("resume_offset", _ASKED + f" SELECT topic, consumer_id, ask, {_RESUME} AS start FROM asked", lambda r: _asks(r, _RESUME))
-
-
-def _parts(s: SparkSession, d: str) -> DataFrame:
-    return L.table(s, d, "part").select(F.col("p_partkey").alias("topic_id")).where("topic_id % 20 = 3")
-
-
-def _place(df: DataFrame) -> DataFrame:
-    """The 0-based place of each topic id, by the two-level running count."""
-    return L.running_total(df.withColumn("_all", F.lit(0)), ["_all"], "topic_id", {"place": F.lit(1)}).drop("_all")
-
-
-_PARTS = "SELECT p_partkey AS topic_id, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS n FROM part WHERE p_partkey % 20 = 3"
-query("assign_round_robin", f"SELECT topic_id, place % 7 AS worker FROM ({_PARTS})", log=False)(lambda s, d: _place(_parts(s, d)).select("topic_id", (F.col("place") % 7).alias("worker")))
-_RANGE = "CASE WHEN place < (n % 7) * (n // 7 + 1) THEN place // (n // 7 + 1) ELSE (n % 7) + (place - (n % 7) * (n // 7 + 1)) // greatest(n // 7, 1) END"
-query("assign_range", f"SELECT topic_id, {_RANGE} AS worker FROM ({_PARTS})", log=False)(lambda s, d: (p := _place(_parts(s, d))).crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).select("topic_id", F.expr(_RANGE.replace("//", "div")).alias("worker")))
-
-
-def _sticky(workers: int = 7):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        load = [0] * workers
-        for w in rows["owner"].dropna():
-            load[int(w)] += 1
-        out = []
-        for w in rows["owner"]:
-            if pd.isna(w):
-                w = min(range(workers), key=lambda k: (load[k], k))
-                load[w] += 1
-            out.append(int(w))
-        return rows[["topic_id"]].assign(worker=out)
-
-    return step
-
-
-query(
-    "assign_sticky",
-    "WITH RECURSIVE p AS (SELECT p_partkey AS topic_id, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 END AS owner FROM part WHERE p_partkey % 20 = 3), u AS (SELECT topic_id, row_number() OVER (ORDER BY topic_id) AS k FROM p WHERE owner IS NULL), l0 AS (SELECT list(coalesce(n, 0) ORDER BY w) AS load FROM (SELECT unnest(range(7)) AS w) LEFT JOIN (SELECT owner AS w, count(*) AS n FROM p WHERE owner IS NOT NULL GROUP BY 1) USING (w)), f(k, topic_id, worker, load) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, load FROM l0 UNION ALL SELECT u.k, u.topic_id, list_position(f.load, list_min(f.load)) - 1, list_transform(f.load, lambda x, i: x + CASE WHEN i = list_position(f.load, list_min(f.load)) THEN 1 ELSE 0 END) FROM f JOIN u ON u.k = f.k + 1) SELECT topic_id, CAST(worker AS BIGINT) AS worker FROM f WHERE k > 0 UNION ALL SELECT topic_id, owner FROM p WHERE owner IS NOT NULL",
-    log=False,
-)(lambda s, d: fold(_parts(s, d).select(F.lit(0).alias("all_"), "topic_id", F.when(F.col("topic_id") % 3 == 0, F.col("topic_id") % 4).alias("owner")), ["all_"], ["topic_id"], "topic_id long, worker long", _sticky()))
-query("assignment_diff", "SELECT topic_id, old_worker, new_worker FROM (SELECT p_partkey AS topic_id, p_partkey % 7 AS old_worker, (p_partkey // 2) % 7 AS new_worker FROM part) WHERE old_worker <> new_worker", log=False)(lambda s, d: L.table(s, d, "part").select(F.col("p_partkey").alias("topic_id"), (F.col("p_partkey") % 7).alias("old_worker"), (F.expr("p_partkey div 2") % 7).alias("new_worker")).where("old_worker <> new_worker"))
-plain("expired_workers", f"SELECT user_id AS worker, max(ts_ns) AS last_ns FROM log GROUP BY user_id HAVING {NOW_NS} - max(ts_ns) > {3 * DAY_NS}", lambda r: r.groupBy(F.col("user_id").alias("worker")).agg(F.max("ts_ns").alias("last_ns")).where(F.lit(NOW_NS) - F.col("last_ns") > 3 * DAY_NS))
-query("actor_route", "SELECT p_partkey AS topic_id, CAST((p_partkey::HUGEINT * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT % 6 AS BIGINT) AS actor FROM part", log=False)(lambda s, d: L.table(s, d, "part").select(F.col("p_partkey").alias("topic_id"), S.actor(F.col("p_partkey"), 6).alias("actor")))
-
-
-def _linger(limit: int = 2000, linger_ns: int = DAY_NS):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out, batch, used, opened = [], 0, 0, None
-        for size, ts in zip(rows["total_size"], rows["ts_ns"], strict=True):
-            if opened is not None and (used >= limit or ts - opened >= linger_ns):
-                batch, used, opened = batch + 1, 0, None
-            opened = ts if opened is None else opened
-            used += size
-            out.append(batch)
-        return rows[["topic", "record_index"]].assign(batch=out)
-
-    return step
-
-
-plain(
-    "producer_batches",
-    f", b(topic, record_index, batch, used, opened) AS (SELECT topic, record_index, 0::BIGINT, total_size::BIGINT, ts_ns FROM log WHERE record_index = 0 UNION ALL SELECT l.topic, l.record_index, CASE WHEN t.f THEN b.batch + 1 ELSE b.batch END, CASE WHEN t.f THEN 0 ELSE b.used END + l.total_size, CASE WHEN t.f THEN l.ts_ns ELSE b.opened END FROM b JOIN log l ON l.topic = b.topic AND l.record_index = b.record_index + 1, LATERAL (SELECT b.used >= 2000 OR l.ts_ns - b.opened >= {DAY_NS} AS f) t) SELECT topic, record_index, batch FROM b",
-    lambda r: fold(r.select("topic", "record_index", "total_size", "ts_ns"), ["topic"], ["record_index"], "topic string, record_index long, batch long", _linger()),
-)
-plain("buffer_drops", "SELECT topic, record_index, byte_offset + total_size > 30000 AS dropped FROM log", lambda r: r.select("topic", "record_index", (F.col("byte_offset") + F.col("total_size") > 30_000).alias("dropped")))
-
-
-def _tokens(limit: int):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = limit, None, []
-        for ms, want in zip(rows["ms"], rows["total_size"], strict=True):
-            last = ms if last is None else last
-            more = limit * (ms - last) // 1000
-            if more > 0:
-                tokens, last = min(limit, tokens + more), ms
-            got = min(tokens, want)
-            tokens -= got
-            out.append(got)
-        return rows[["topic", "record_index"]].assign(granted=out)
-
-    return step
-
-
-plain("rate_limit", None, lambda r: fold(r.select("topic", "record_index", _ms().alias("ms"), "total_size"), ["topic"], ["record_index"], "topic string, record_index long, granted long", _tokens(100)))
-query("replay_dedup", "SELECT topic, write_offset, arg_max(event_id, event_id) AS event_id, count(*) AS copies FROM (SELECT topic, byte_offset // 300 AS write_offset, event_id FROM log) GROUP BY ALL")(lambda s, d: L.log_records(s, d).groupBy("topic", F.expr("byte_offset div 300").alias("write_offset")).agg(F.max("event_id").alias("event_id"), F.count("*").alias("copies")))
-query("tumbling_counts", "SELECT event_type AS topic, epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n FROM events GROUP BY ALL", log=False)(lambda s, d: L.table(s, d, "events").groupBy(F.col("event_type").alias("topic"), F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n")).select("topic", F.unix_micros("w.start").alias("window_us"), "n"))
-
-# ---- integrity
-query("seq_gaps", "SELECT seq, expected, seq - expected AS gap FROM exp WHERE seq > expected")(lambda s, d: _expected(_messages(s, d)).where("seq > expected").select("seq", "expected", (F.col("seq") - F.col("expected")).alias("gap")))
-query("seq_duplicates", "SELECT seq, expected, CASE WHEN seq + 1 = expected THEN 'replay' ELSE 'duplicate' END AS kind FROM exp WHERE seq < expected")(lambda s, d: _expected(_messages(s, d)).where("seq < expected").select("seq", "expected", F.when(F.col("seq") + 1 == F.col("expected"), "replay").otherwise("duplicate").alias("kind")))
-query("run_filter", "SELECT seq, arrival FROM msgs WHERE run_id = 2")(lambda s, d: _messages(s, d).where("run_id = 2").select("seq", "arrival"))
-
-
-def _report(m: DataFrame, *keys: str) -> DataFrame:
-    dup = (F.col("seq") < F.col("expected")) & (F.col("seq") + 1 != F.col("expected"))
-    out = m.groupBy(*keys).agg(F.count("*").alias("consumed"), F.sum(F.greatest(F.col("seq") - F.col("expected"), F.lit(0))).cast("long").alias("gaps"), F.count_if(dup).alias("duplicates"))
-    return out.withColumn("passed", (F.col("consumed") > 0) & (F.col("gaps") == 0) & (F.col("duplicates") == 0))
-
-
-_REPORT = "count(*) AS consumed, CAST(sum(greatest(seq - expected, 0)) AS BIGINT) AS gaps, count(*) FILTER (WHERE seq < expected AND seq + 1 <> expected) AS duplicates, sum(greatest(seq - expected, 0)) = 0 AND count(*) FILTER (WHERE seq < expected AND seq + 1 <> expected) = 0 AS passed FROM exp"
-query("integrity_report", f"SELECT {_REPORT}")(lambda s, d: _report(_expected(_messages(s, d))))
-query("integrity_rollup", f"SELECT run_id, {_REPORT} GROUP BY ROLLUP (run_id)")(lambda s, d: (e := _expected(_messages(s, d))) and _report(e, "run_id").unionByName(_report(e).withColumn("run_id", F.lit(None).cast("long"))))
-query("gap_analysis", "SELECT event_id, greatest(l - f, 0) AS gap_bytes, greatest(l - f, 0) // 1048576 AS segments, greatest(l - f, 0) > 268435456 AS bulk FROM (SELECT event_id, event_id * 100003 % 900000000 AS l, event_id * 77 AS f FROM events)", log=False)(
-    lambda s, d: L.table(s, d, "events").select("event_id", F.expr("greatest(event_id * 100003 % 900000000 - event_id * 77, 0)").alias("gap_bytes")).select("event_id", "gap_bytes", F.expr("gap_bytes div 1048576").alias("segments"), (F.col("gap_bytes") > 268435456).alias("bulk"))
-)
-
-
-def _ewma(rows: pd.DataFrame) -> pd.DataFrame:
-    rate, out = 0.0, []
-    for size, secs in zip(rows["total_size"], rows["secs"], strict=True):
-        if secs > 0:
-            rate = 0.3 * (size / secs) + 0.7 * rate
-        out.append(rate)
-    return rows[["topic", "record_index"]].assign(rate=[round(x, 6) for x in out])
-
-
-plain(
-    "ewma_rate",
-    ", e(topic, record_index, rate) AS (SELECT topic, record_index, CASE WHEN record_index % 4 > 0 THEN 0.3::DOUBLE * (total_size::DOUBLE / (record_index % 4)) ELSE 0::DOUBLE END FROM log WHERE record_index = 0 UNION ALL SELECT l.topic, l.record_index, CASE WHEN l.record_index % 4 > 0 THEN 0.3::DOUBLE * (l.total_size::DOUBLE / (l.record_index % 4)::DOUBLE) + 0.7::DOUBLE * e.rate ELSE e.rate END FROM e JOIN log l ON l.topic = e.topic AND l.record_index = e.record_index + 1) SELECT topic, record_index, round(rate, 6) AS rate FROM e",
-    lambda r: fold(r.select("topic", "record_index", "total_size", (F.col("record_index") % 4).alias("secs")), ["topic"], ["record_index"], "topic string, record_index long, rate double", _ewma),
-)
-
-# ---- metrics
-BOUNDS = [100, 500, 1_000, 5_000, 10_000, 25_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 5_000_000, 10_000_000]
-_BOUNDS_SQL = f"bounds AS (SELECT unnest({BOUNDS}::BIGINT[]) AS bound)"
-
-
-def _bucket(us: Column) -> Column:
-    bound = F.lit(None).cast("long")
-    for b in BOUNDS:
-        bound = F.coalesce(bound, F.when(us <= b, F.lit(b).cast("long")))
-    return bound
-
-
-def _histogram(s: SparkSession, d: str) -> DataFrame:
-    return _latencies(s, d).groupBy("topic", _bucket(F.col("us")).alias("bound")).agg(F.count("*").alias("n"), F.max("us").alias("largest"))
-
-
-_HIST = f", {_BOUNDS_SQL}, hist AS (SELECT topic, (SELECT min(bound) FROM bounds WHERE bound >= us) AS bound, us FROM lat), hs AS (SELECT topic, bound, count(*) AS n, max(us) AS largest FROM hist GROUP BY ALL)"
-query("latency_histogram", _HIST + " SELECT topic, bound, n FROM hs")(lambda s, d: _histogram(s, d).select("topic", "bound", "n"))
-
-
-def _percentiles(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("topic").orderBy(F.col("bound").asc_nulls_last())
-    h = _histogram(s, d).withColumns({"cum": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("topic"))})
-    p = h.withColumn("p", F.explode(F.array(F.lit(50), F.lit(95), F.lit(99)))).where(F.col("cum") >= F.ceil(F.col("p") * F.col("total") / 100))
-    return p.groupBy("topic", "p").agg(F.min_by(F.coalesce("bound", "largest"), "cum").alias("us"))
-
-
-query("histogram_percentiles", _HIST + ", c AS (SELECT *, sum(n) OVER (PARTITION BY topic ORDER BY bound NULLS LAST) AS cum, sum(n) OVER (PARTITION BY topic) AS total FROM hs) SELECT topic, p, arg_min(coalesce(bound, largest), cum) AS us FROM c, (VALUES (50), (95), (99)) v(p) WHERE cum >= ceil(p * total / 100.0) GROUP BY topic, p")(_percentiles)
-query("latency_avg", "SELECT topic, round(coalesce(CAST(sum(us) AS DOUBLE) / count(*), 0.0), 6) AS mean_us FROM lat GROUP BY topic")(lambda s, d: _latencies(s, d).groupBy("topic").agg(F.round(F.coalesce(F.sum("us").cast("double") / F.count("*"), F.lit(0.0)), 6).alias("mean_us")))
-query("sample_percentiles", ", r AS (SELECT topic, us, row_number() OVER (PARTITION BY topic ORDER BY us) - 1 AS i, count(*) OVER (PARTITION BY topic) AS n FROM lat) SELECT topic, p, us FROM r, (VALUES (50), (99)) v(p) WHERE i = CAST(floor(p / 100.0::DOUBLE * (n - 1) + 0.5) AS BIGINT)")(
-    lambda s, d: _latencies(s, d).withColumns({"i": F.row_number().over(Window.partitionBy("topic").orderBy("us")) - 1, "n": F.count("*").over(Window.partitionBy("topic"))}).withColumn("p", F.explode(F.array(F.lit(50), F.lit(99)))).where(F.col("i") == F.floor(F.col("p") / F.lit(100.0) * (F.col("n") - 1) + 0.5)).select("topic", "p", "us")
-)
-def _w100() -> WindowSpec:
-    return Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-99, 0)
-
-
-query("rolling_p99", ", w AS (SELECT event_id, list_sort(list(us) OVER (PARTITION BY user_id ORDER BY event_id ROWS 99 PRECEDING)) AS a FROM lat) SELECT event_id, a[CAST(ceil(0.99::DOUBLE * len(a)) AS BIGINT)] AS p99 FROM w")(lambda s, d: _latencies(s, d).withColumn("a", F.array_sort(F.collect_list("us").over(_w100()))).select("event_id", F.element_at("a", F.ceil(F.lit(0.99) * F.size("a")).cast("int")).alias("p99")))
-query("rolling_mean", "SELECT event_id, round(CAST(sum(us) OVER w AS DOUBLE) / count(*) OVER w, 6) AS mean FROM lat WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 99 PRECEDING)")(lambda s, d: _latencies(s, d).select("event_id", F.round(F.sum("us").over(_w100()).cast("double") / F.count("*").over(_w100()), 6).alias("mean")))
-plain("rates", "SELECT topic, record_index, CASE WHEN dm > 0 THEN greatest(byte_offset - pv, 0) * 1000000 // dm // 1000 END AS rate FROM (SELECT *, lag(byte_offset) OVER o AS pv, ts_ns // 1000000 - lag(ts_ns // 1000000) OVER o AS dm FROM log WINDOW o AS (PARTITION BY topic ORDER BY record_index))", lambda r: r.withColumns({"pv": F.lag("byte_offset").over(Window.partitionBy("topic").orderBy("record_index")), "dm": _ms() - F.lag(_ms()).over(Window.partitionBy("topic").orderBy("record_index"))}).select("topic", "record_index", F.expr("CASE WHEN dm > 0 THEN greatest(byte_offset - pv, 0L) * 1000000 div dm div 1000 END").alias("rate")))
-query("errors_by_type", "SELECT event_type AS error, count(*) AS n FROM events WHERE value > 50 GROUP BY ROLLUP (event_type)", log=False)(lambda s, d: L.table(s, d, "events").where("value > 50").rollup(F.col("event_type").alias("error")).agg(F.count("*").alias("n")))
-query("saturation", "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 0.0::DOUBLE ELSE round(count(*)::DOUBLE / (user_id % 10), 6) END AS ratio FROM events GROUP BY user_id", log=False)(lambda s, d: L.table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.when(F.col("user_id") % 10 == 0, 0.0).otherwise(F.round(F.col("n").cast("double") / F.greatest(F.col("user_id") % 10, F.lit(1)), 6)).alias("ratio")))
-query("golden_flags", "SELECT event_id, us > 100000 OR event_id % 100 > 70 AS warning, us > 1000000 OR event_id % 100 > 90 AS critical FROM lat")(lambda s, d: _latencies(s, d).select("event_id", ((F.col("us") > 100_000) | (F.col("event_id") % 100 > 70)).alias("warning"), ((F.col("us") > 1_000_000) | (F.col("event_id") % 100 > 90)).alias("critical")))
-query("sampled_latency", "SELECT event_id, us FROM lat WHERE event_id % 16 = 0")(lambda s, d: _latencies(s, d).where("event_id % 16 = 0").select("event_id", "us"))
-plain("consume_summary", "SELECT topic, CAST(sum(total_size) AS BIGINT) AS bytes, count(*) AS records, count(DISTINCT byte_offset // 4096) AS fetches, max(byte_offset + total_size) AS final_offset FROM log GROUP BY topic", lambda r: r.groupBy("topic").agg(F.sum("total_size").alias("bytes"), F.count("*").alias("records"), F.countDistinct(F.expr("byte_offset div 4096")).alias("fetches"), F.max(F.col("byte_offset") + F.col("total_size")).alias("final_offset")))
-query("throughput_band", "SELECT event_id, CASE WHEN r < 1000 THEN 'CRITICAL' WHEN r < 10000 THEN 'LOW' WHEN r < 50000 THEN 'MODERATE' WHEN r < 100000 THEN 'GOOD' WHEN r < 500000 THEN 'EXCELLENT' WHEN r < 1000000 THEN 'OUTSTANDING' ELSE 'WORLD-CLASS' END AS band FROM (SELECT event_id, event_id * 997 % 1500000 AS r FROM events)", log=False)(lambda s, d: L.table(s, d, "events").select("event_id", S.throughput_band(F.col("event_id") * 997 % 1500000).alias("band")))
-query("rate_5m", "SELECT event_type AS topic, epoch_us(b) AS window_us, round(count(*) / 300.0::DOUBLE, 9) AS rate FROM (SELECT event_type, ts, time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k) AS b FROM events, (SELECT unnest(range(5))::BIGINT AS k)) GROUP BY ALL", log=False)(lambda s, d: L.table(s, d, "events").groupBy(F.col("event_type").alias("topic"), F.window(F.col("ts").cast("timestamp"), "5 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n")).select("topic", F.unix_micros("w.start").alias("window_us"), F.round(F.col("n") / F.lit(300.0), 9).alias("rate")))
-
-# ---- decisions
-_BP = "CASE WHEN q >= 5000 OR io >= 500 OR m >= 90 THEN 'Critical' ELSE CASE WHEN s = 0 THEN 'None' WHEN s <= 2 THEN 'Light' WHEN s <= 4 THEN 'Moderate' WHEN s <= 6 THEN 'Heavy' ELSE 'Critical' END END"
-query(
-    "backpressure_level",
-    f"WITH a AS (SELECT event_id, event_id * 31 % 6000 AS q, event_id * 17 % 600 AS io, event_id * 7 % 100 AS m FROM events), b AS (SELECT *, CASE WHEN q >= 2500 THEN 3 WHEN q >= 1000 THEN 2 ELSE 0 END + CASE WHEN io >= 250 THEN 3 WHEN io >= 100 THEN 2 ELSE 0 END + CASE WHEN m >= 80 THEN 3 WHEN m >= 70 THEN 2 ELSE 0 END AS s FROM a), c AS (SELECT event_id, {_BP} AS level FROM b) SELECT event_id, level, CASE level WHEN 'Light' THEN 1.5 WHEN 'Moderate' THEN 2 WHEN 'Heavy' THEN 4 WHEN 'Critical' THEN 10 ELSE 1 END::DOUBLE AS delay, level <> 'Critical' AS accepts FROM c",
-    log=False,
-)(lambda s, d: L.table(s, d, "events").select("event_id", S.backpressure(F.col("event_id") * 31 % 6000, F.col("event_id") * 17 % 600, F.col("event_id") * 7 % 100).alias("level")).select("event_id", "level", S.delay_multiplier(F.col("level")).alias("delay"), (F.col("level") != "Critical").alias("accepts")))
-query("quorum_math", "SELECT DISTINCT s_suppkey % 9 + 1 AS nodes, (s_suppkey % 9 + 1) // 2 + 1 AS quorum, (s_suppkey % 9 + 1) - ((s_suppkey % 9 + 1) // 2 + 1) AS tolerated FROM supplier", log=False)(lambda s, d: L.table(s, d, "supplier").select((F.col("s_suppkey") % 9 + 1).alias("nodes")).distinct().select("nodes", F.expr("nodes div 2 + 1").alias("quorum"), F.expr("nodes - (nodes div 2 + 1)").alias("tolerated")))
-
-
-def _outcomes(s: SparkSession, d: str) -> DataFrame:
-    """Of each write (an order) its first decisive answer: 2 successes of 3 pass, 2 failures fail, else partial."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    ok = F.col("l_returnflag") != "R"
-    rows = L.table(s, d, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", F.sum(ok.cast("int")).over(order).alias("oks"), F.sum((~ok).cast("int")).over(order).alias("fails"))
-    verdict = F.when(F.col("oks") >= 2, "success").when(F.col("fails") >= 2, "failed")
-    return rows.groupBy(F.col("l_orderkey").alias("write_id")).agg(F.coalesce(F.min_by(verdict, F.when(verdict.isNotNull(), F.col("l_linenumber"))), F.lit("partial")).alias("outcome"))
-
-
-query("quorum_outcome", "WITH a AS (SELECT l_orderkey, l_linenumber, sum((l_returnflag <> 'R')::INT) OVER w AS oks, sum((l_returnflag = 'R')::INT) OVER w AS fails FROM lineitem WHERE l_linenumber <= 3 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey AS write_id, coalesce(arg_min(CASE WHEN oks >= 2 THEN 'success' WHEN fails >= 2 THEN 'failed' END, l_linenumber) FILTER (WHERE oks >= 2 OR fails >= 2), 'partial') AS outcome FROM a GROUP BY 1", log=False)(_outcomes)
-query("joint_quorum", "SELECT l_orderkey AS write_id, count(DISTINCT l_suppkey % 3) >= 2 AND count(DISTINCT l_partkey % 5) >= 3 AS committed FROM lineitem GROUP BY 1", log=False)(lambda s, d: L.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("write_id")).agg(((F.countDistinct(F.col("l_suppkey") % 3) >= 2) & (F.countDistinct(F.col("l_partkey") % 5) >= 3)).alias("committed")))
-query("commit_index", "SELECT user_id, list_sort(list(m))[len(list(m)) - (len(list(m)) // 2 + 1) + 1] AS commit_index FROM (SELECT user_id, event_type, max(event_id) AS m FROM events GROUP BY ALL) GROUP BY user_id", log=False)(lambda s, d: L.table(s, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("m")).groupBy("user_id").agg(F.array_sort(F.collect_list("m")).alias("a")).select("user_id", F.expr("element_at(a, cast(size(a) - (size(a) div 2 + 1) + 1 as int))").alias("commit_index")))
-
-
-def _follower(limit: int = 60_000, slow_most: int = 3, recover: int = 2):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        status, slow, fast, out = "healthy", 0, 0, []
-        for us in rows["us"]:
-            fast = 0 if us > limit else fast + 1  # the run of fast ones that ends here
-            if us > limit:
-                slow += 1
-                if slow >= slow_most and status != "evicted":
-                    status = "evicted"
-                elif status == "healthy":
-                    status = "degraded"
-            elif status == "evicted":
-                if fast >= recover:
-                    status, slow = "healthy", 0
-            else:
-                status, slow = "healthy", 0
-            out.append(status)
-        return rows[["user_id", "event_id"]].assign(status=out)
-
-    return step
-
-
-query(
-    "follower_health",
-    ", o AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM lat), f(user_id, k, event_id, status, slow, fast) AS (SELECT user_id, k, event_id, CASE WHEN us > 60000 THEN 'degraded' ELSE 'healthy' END, (us > 60000)::INT, (us <= 60000)::INT FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN o.us > 60000 THEN CASE WHEN f.slow + 1 >= 3 THEN 'evicted' WHEN f.status = 'healthy' THEN 'degraded' ELSE f.status END WHEN f.status = 'evicted' THEN CASE WHEN f.fast + 1 >= 2 THEN 'healthy' ELSE 'evicted' END ELSE 'healthy' END, CASE WHEN o.us > 60000 THEN f.slow + 1 WHEN f.status = 'evicted' AND f.fast + 1 < 2 THEN f.slow ELSE 0 END, CASE WHEN o.us > 60000 THEN 0 ELSE f.fast + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1) SELECT user_id, event_id, status FROM f",
-)(lambda s, d: fold(_latencies(s, d), ["user_id"], ["event_id"], "user_id long, event_id long, status string", _follower()))
-
-
-def _circuit(failures: int = 3, successes: int = 2, reset_ms: int = DAY_NS // 1_000_000, window_ms: int = 10 * DAY_NS // 1_000_000):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        state, failed, won, opened, last, out = "closed", 0, 0, 0, 0, []
-        for ms, ok in zip(rows["ms"], rows["ok"], strict=True):
-            if state == "open" and ms - opened >= reset_ms:
-                state, won = "half_open", 0
-            if state == "closed":
-                if ok:
-                    failed = 0
-                else:
-                    failed = 1 if ms - last > window_ms else failed + 1
-                    if failed > 1 and failed >= failures:
-                        state, opened = "open", ms
-                    last = ms
-            elif state == "half_open":
-                won += ok
-                if not ok:
-                    state, opened, won = "open", ms, 0
-                elif won >= successes:
-                    state, failed, won = "closed", 0, 0
-            out.append(state)
-        return rows[["user_id", "event_id"]].assign(state=out)
-
-    return step
-
-
-plain("circuit_state", None, lambda r: fold(r.select("user_id", "event_id", _ms().alias("ms"), (F.col("value") < 50).alias("ok")), ["user_id"], ["event_id"], "user_id long, event_id long, state string", _circuit()))
-query("priority_strict", "SELECT event_id, user_id % 5 AS level, row_number() OVER (PARTITION BY event_type ORDER BY user_id % 5, event_id) AS place FROM events", log=False)(lambda s, d: L.table(s, d, "events").select("event_id", (F.col("user_id") % 5).alias("level"), F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("user_id") % 5, "event_id")).cast("long").alias("place")))
-query("auth_decision", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'allowed' WHEN event_id % 3 = 0 THEN 'missing_token' WHEN user_id % 4 = 1 THEN 'allowed' ELSE 'invalid_token' END AS decision FROM events", log=False)(lambda s, d: L.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "allowed").when(F.col("event_id") % 3 == 0, "missing_token").when(F.col("user_id") % 4 == 1, "allowed").otherwise("invalid_token").alias("decision")))
-query("retry_schedule", "SELECT k AS attempt, least(500 * pow(2, k), 30000)::BIGINT AS delay_ms FROM (SELECT unnest(range(30)) AS k)", log=False)(lambda s, d: s.range(30).select(F.col("id").alias("attempt"), F.least(F.lit(500) * F.pow(F.lit(2), F.col("id")), F.lit(30000)).cast("long").alias("delay_ms")))
-
-
-def _stagnant(r: DataFrame) -> DataFrame:
-    order = Window.partitionBy("topic", "consumer_id").orderBy("commit_seq")
-    rows = _commits(r).withColumn("o", F.expr("off div 4096"))
-    rows = rows.withColumn("new", F.coalesce((F.col("o") != F.lag("o").over(order)).cast("int"), F.lit(1)))
-    rows = rows.withColumn("run", F.sum("new").over(order))
-    return rows.groupBy("topic", "consumer_id", "run").agg(F.count("*").alias("replies"), F.min("o").alias("o")).where("replies >= 3").select("topic", "consumer_id", "o", "replies")
-
-
-plain("stagnant_offsets", ", c AS (SELECT *, off // 4096 AS o FROM commits), d AS (SELECT *, (o IS DISTINCT FROM lag(o) OVER w)::INT AS n FROM c WINDOW w AS (PARTITION BY topic, consumer_id ORDER BY commit_seq)), g AS (SELECT *, sum(n) OVER (PARTITION BY topic, consumer_id ORDER BY commit_seq) AS run FROM d) SELECT topic, consumer_id, min(o) AS o, count(*) AS replies FROM g GROUP BY topic, consumer_id, run HAVING count(*) >= 3", _stagnant)
-
-# ---- metadata statements
-query("topic_upsert", "SELECT name, topic_id FROM (SELECT topic AS name, topic_id FROM ends WHERE topic NOT IN ('click', 'zeta') AND topic_id NOT IN (1, 9) UNION ALL SELECT * FROM (VALUES ('click', 1), ('zeta', 9)))")(
-    lambda s, d: (new := s.createDataFrame([("click", 1), ("zeta", 9)], "name string, topic_id long")) and L.topics(s, d).withColumnRenamed("topic", "name").join(new.select("name"), "name", "left_anti").join(new.select("topic_id"), "topic_id", "left_anti").select("name", "topic_id").union(new)
-)
-query("topic_drop", "SELECT topic, topic_id FROM ends WHERE topic <> 'view'")(lambda s, d: L.topics(s, d).where("topic <> 'view'"))
-query("topic_ops_replay", "SELECT user_id AS topic_id, arg_max(event_type, event_id) AS name FROM events GROUP BY user_id HAVING arg_max(event_id % 3, event_id) <> 0", log=False)(lambda s, d: L.table(s, d, "events").groupBy(F.col("user_id").alias("topic_id")).agg(F.max_by("event_type", "event_id").alias("name"), F.max_by(F.col("event_id") % 3, "event_id").alias("op")).where("op <> 0").select("topic_id", "name"))
-_CMD = " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.COMMANDS.items())
-query("command_names", f"SELECT code, CASE code {_CMD} ELSE 'ErrorResponse' END AS name FROM (SELECT unnest(range(256)) AS code)", log=False)(lambda s, d: s.range(256).select(F.col("id").alias("code"), S.command_name(F.col("id")).alias("name")))
+__all__ = ["ORACLES", "QUERIES", "decision_queries", "group_queries", "integrity_queries", "metadata_queries", "metric_queries", "order_queries", "record_queries", "scan_queries", "segment_queries"]

@@ -9,8 +9,10 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PAYLOAD = 16 << 20
 EXTENDED = 0xFF
@@ -72,7 +74,13 @@ def parse(data: bytes, most: int = MAX_PAYLOAD, extended: bool = True, types: di
 
 
 def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE", most: int = MAX_PAYLOAD, extended: bool = True, core_types: bool = False) -> DataFrame:
-    """Records of all segment files under a path, a task per file or more; PERMISSIVE keeps the error row, DROPMALFORMED drops it, FAILFAST raises."""
+    """Records of all segment files under a path; PERMISSIVE keeps the error row, DROPMALFORMED drops it, FAILFAST raises."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return records_of(files, mode, most, extended, core_types)
+
+
+def records_of(files: DataFrame, mode: str = "PERMISSIVE", most: int = MAX_PAYLOAD, extended: bool = True, core_types: bool = False) -> DataFrame:
+    """Records of segments (path, content); a task holds one segment at a time, records leave it 10,000 at once."""
     types = CORE_TYPES if core_types else CLIENT_TYPES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,10 +97,77 @@ def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE", most: int = M
                         rows = []
                 yield _frame(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(run, SCHEMA)
 
 
+def truncated(files: DataFrame, most: int = MAX_PAYLOAD) -> DataFrame:
+    """path, content up to where it is valid, and dirty: whether anything was cut."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ends = [sum(r[6] for r in parse(bytes(data), most) if r[-1] is None) for data in batch["content"]]
+            kept = [bytes(data)[:end] for data, end in zip(batch["content"], ends, strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "content": kept, "dirty": [len(data) > end for data, end in zip(batch["content"], ends, strict=True)]})
+
+    return files.mapInPandas(run, "path string, content binary, dirty boolean")
+
+
+def wal_records(files: DataFrame) -> DataFrame:
+    """path, data: the complete frames of write-ahead logs (path, content)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path_, data in zip(batch["path"], batch["content"], strict=True):
+                frames = list(wal_frames(bytes(data)))
+                yield pd.DataFrame({"path": [path_] * len(frames), "data": frames})
+
+    return files.mapInPandas(run, "path string, data binary")
+
+
+def is_data(type_byte: Column) -> Column:
+    return type_byte == 0x01
+
+
+def is_tombstone(type_byte: Column) -> Column:
+    return type_byte == 0x02
+
+
+def valid_payload(payload: Column, crc: Column) -> Column:
+    """Whether a payload has the checksum (IEEE) that came with it."""
+    return F.crc32(payload) == crc
+
+
+def compressed(rows: DataFrame, algorithm: str) -> DataFrame:
+    """rows with `packed`: header and compressed payload, by the algorithm that the named column gives."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = {name: code for code, name in COMPRESSION.items()}
+        for batch in batches:
+            yield batch.assign(packed=[struct.pack("<BI", codes[how], len(data)) + _codec(how, bytes(data), None) for how, data in zip(batch[algorithm], batch["payload"], strict=True)])
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("packed", T.BinaryType())]))
+
+
+def decompressed(rows: DataFrame, most: int = MAX_PAYLOAD) -> DataFrame:
+    """rows with the payload that `packed` holds; null where the header is cut or tells of more than `most` bytes."""
+    def one(data: bytes) -> bytes | None:
+        if len(data) < 5:
+            return None
+        code, size = struct.unpack_from("<BI", data)
+        return None if size > most or code not in COMPRESSION else _codec(COMPRESSION[code], data[5:], size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(payload=[one(bytes(data)) for data in batch["packed"]])
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def _codec(how: str, data: bytes, size: int | None) -> bytes:
+    """Compress (size is None) or decompress to that size."""
+    if how == "none":
+        return data
+    codec = pa.Codec({"lz4": "lz4_raw", "zstd": "zstd"}[how])
+    return codec.compress(data, asbytes=True) if size is None else codec.decompress(data, size, asbytes=True) if size else b""
+
+
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
     return frame.astype({"type_byte": "Int32", "extended_type": "Int32", "length": "Int64", "offset": "Int64", "total_size": "Int64"})
