@@ -36,12 +36,16 @@ MISS = 1e-6
 TIGHT = 0.4
 BLOCK_SHINGLES = 1 << 18
 """Shingles in one side of a block comparison, about."""
+LEAST = 128
+"""What a smaller set counts as, so that a block has BLOCK_SHINGLES / LEAST members at most, about."""
+SLICE = 2000
+"""Sets hashed at once."""
 HOT = 1000
 """A key of over 1/HOT of all rows, and HOT rows at least, is hot; fewer than HOT keys can be."""
 SPREAD = 64
 """Tasks that share the rows of a hot centre."""
-BROADCAST_IDS = 200_000
-"""Ids broadcast at most (some 6 MB); more are joined by shuffle."""
+BROADCAST_IDS = 500_000
+"""Ids broadcast at most (some 16 MB); more are joined by shuffle."""
 
 
 def shingles(text: Column, k: int) -> Column:
@@ -67,8 +71,8 @@ def signatures(sets: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift, mul = np.uint64(32), np.uint64(0xFF51AFD7ED558CCD)
-        for batch in batches:
-            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("set")), 0))  # a filter in Spark would compute the sets twice
+        for batch in (whole_.slice(low, SLICE) for whole_ in batches for low in range(0, whole_.num_rows, SLICE)):
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column("set")), 0))
             lists = batch.column("set")
             n = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy().view(np.uint64)
@@ -126,11 +130,11 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("c", "m", "nc", "nm")] + [pa.array(common)], names=["c", "m", "nc", "nm", "common"])
 
     hot = hot_keys(pairs, "c").withColumn("hot", F.lit(True))
-    sets = only(sets, pairs.select(F.explode(F.array("c", "m")).alias("id")))
+    members, sets = only(sets, pairs.select(F.col("m").alias("id"))), only(sets, pairs.select(F.col("c").alias("id")))
     pairs = pairs.join(F.broadcast(hot), "c", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("m"), F.lit(SPREAD))).otherwise(0)).drop("hot")
     centres = sets.join(F.broadcast(hot), sets["doc"] == hot["c"], "left").select(F.col("doc").alias("c"), F.col("n").alias("nc"), F.col("set").alias("set_c"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
     # Rows that share an id may have several sets under it; the size tells which is meant.
-    both = pairs.join(sets.select(F.col("doc").alias("m"), F.col("n").alias("nm"), F.col("set").alias("set_m")), ["m", "nm"]).join(centres, ["c", "nc", "salt"])
+    both = pairs.join(members.select(F.col("doc").alias("m"), F.col("n").alias("nm"), F.col("set").alias("set_m")), ["m", "nm"]).join(centres, ["c", "nc", "salt"])
     return both.mapInArrow(run, "c long, m long, nc int, nm int, common long")
 
 
@@ -213,7 +217,7 @@ def _blocks(units: DataFrame, sets: DataFrame, percent: int, block: int) -> Data
     """units (u, rep, label, main): links between members of a unit, but those of its main label among themselves."""
     sized = units.join(sets, units["rep"] == sets["doc"]).select("u", "rep", "label", "main", "set", "n")
     need = units.join(sets.select("doc", "n"), units["rep"] == F.col("doc")).groupBy("u").agg(
-        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("main") == side, F.col("n")).otherwise(0)) / block)).cast("int").alias(name) for side, name in ((True, "nm"), (False, "no"))]
+        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("main") == side, F.greatest(F.col("n"), F.lit(min(LEAST, block)))).otherwise(0)) / block)).cast("int").alias(name) for side, name in ((True, "nm"), (False, "no"))]
     )
     dealt = sized.join(need, "u").withColumn("blk", F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("no"))).cast("int"))
     seq = lambda n: F.sequence(F.lit(0), n - 1)

@@ -55,7 +55,7 @@ class Splitter:
 class Cache(dict):
     """Pieces to packed ids; the later ones go when it holds `most`, so memory is bounded however many pieces there are."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 500_000):
         super().__init__()
         self.encode, self.most = encode, most
 

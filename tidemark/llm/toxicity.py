@@ -161,7 +161,7 @@ def word_features(runs: list[str]) -> set[int]:
 class Reader:
     """Features of texts; words are restored and hashed once, as long as they are among the `most` kept."""
 
-    def __init__(self, decoder: Decoder, keep: frozenset[int] | None = None, most: int = 300_000):
+    def __init__(self, decoder: Decoder, keep: frozenset[int] | None = None, most: int = 100_000):
         self.decoder, self.keep, self.most, self.known = decoder, keep, most, {}
 
     def __call__(self, text: str) -> dict[int, int]:
