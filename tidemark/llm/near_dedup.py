@@ -20,7 +20,7 @@ output. Ids must be integers. Other columns pass through; those whose names begi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -111,13 +111,7 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.createDataFrame(counts.where(F.col("n") > limit).select(key).collect(), f"`{key}` long")
 
 
-def only(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """The sets of some ids, which are few as a rule; sets that nobody asks for do not travel."""
-    ids = staged(ids.distinct(), "ids")
-    return sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, sets["doc"] == ids["id"], "left_semi")
-
-
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """pairs (staged): c, m, nc, nm -> and `common`: the size of the intersection of the two full sets.
 
     A hot centre's rows are dealt to SPREAD tasks, each with a copy of the centre's set.
@@ -130,11 +124,11 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in ("c", "m", "nc", "nm")] + [pa.array(common)], names=["c", "m", "nc", "nm", "common"])
 
     hot = hot_keys(pairs, "c").withColumn("hot", F.lit(True))
-    members, sets = only(sets, pairs.select(F.col("m").alias("id"))), only(sets, pairs.select(F.col("c").alias("id")))
+    sets = sets_of(pairs.select(F.explode(F.array("c", "m")).alias("id")))
     pairs = pairs.join(F.broadcast(hot), "c", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("m"), F.lit(SPREAD))).otherwise(0)).drop("hot")
     centres = sets.join(F.broadcast(hot), sets["doc"] == hot["c"], "left").select(F.col("doc").alias("c"), F.col("n").alias("nc"), F.col("set").alias("set_c"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("salt"))
     # Rows that share an id may have several sets under it; the size tells which is meant.
-    both = pairs.join(members.select(F.col("doc").alias("m"), F.col("n").alias("nm"), F.col("set").alias("set_m")), ["m", "nm"]).join(centres, ["c", "nc", "salt"])
+    both = pairs.join(sets.select(F.col("doc").alias("m"), F.col("n").alias("nm"), F.col("set").alias("set_m")), ["m", "nm"]).join(centres, ["c", "nc", "salt"])
     return both.mapInArrow(run, "c long, m long, nc int, nm int, common long")
 
 
@@ -234,19 +228,27 @@ def _blocks(units: DataFrame, sets: DataFrame, percent: int, block: int) -> Data
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tight: float = TIGHT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """doc, n_shingles, component: a row for each id with a non-empty set; component is the smallest id reachable over links."""
-    sets = staged(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), shingles(F.col(text_col), k).alias("set")), "sets")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    as_sets = lambda own: own.select("doc", shingles(F.col("text"), k).alias("set"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """doc, set, n of some ids, a small part of all as a rule: only theirs are made once more and kept."""
+        ids = staged(ids.distinct(), "ids")
+        own = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, rows["doc"] == ids["id"], "left_semi")
+        return staged(as_sets(own), "sets").withColumn("n", F.size("set")).where("n > 0")
+
     loose = max(1, math.floor(100 * tight) - (100 - percent))
-    sig = staged(signatures(sets, bands_for(percent / 100)), "signatures")
+    sig = staged(signatures(as_sets(rows), bands_for(percent / 100)), "signatures")
     reps = staged(sig.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "reps")
     rep_of = staged(sig.select("doc", "h1", "h2", "n").join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc", "rep", "n"), "rep-of")
     of_id = rep_of.groupBy("doc").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.max("n").alias("n"))
     same_id = rep_of.join(of_id.where("low <> high").select("doc", "low"), "doc").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    rows = reps.select("rep", "n", F.explode("bands").alias("k"))
-    buckets = staged(rows.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("held")).where("held > 1").select("k", F.col("first.rep").alias("c"), F.col("first.n").alias("nc"), "held"), "buckets")
+    banded = reps.select("rep", "n", F.explode("bands").alias("k"))
+    buckets = staged(banded.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("held")).where("held > 1").select("k", F.col("first.rep").alias("c"), F.col("first.n").alias("nc"), "held"), "buckets")
     # The members of hot buckets do not meet in one task: those buckets, fewer than HOT, are broadcast.
     limit = max(HOT, (buckets.agg(F.sum("held")).first()[0] or 0) // HOT)
     hot = F.broadcast(buckets.where(F.col("held") > limit).select("k", F.col("c").alias("hc"), F.col("nc").alias("hn")))
-    marked = rows.join(hot, "k", "left")
+    marked = banded.join(hot, "k", "left")
     cold = marked.where("hc IS NULL").drop("hc", "hn").join(buckets.where(F.col("held") <= limit).select("k", "c", "nc"), "k")
     members = staged(cold.unionByName(marked.where("hc IS NOT NULL").select("rep", "n", "k", F.col("hc").alias("c"), F.col("hn").alias("nc"))), "members")
 
@@ -254,14 +256,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         near = (F.least("nc", "nm") * 100 >= F.greatest("nc", "nm") * loose) & (F.col("c") != F.col("m"))
         return df.select("c", F.col("rep").alias("m"), "nc", F.col("n").alias("nm")).where(near).distinct()
 
-    sets = sets.withColumn("n", F.size("set")).where("n > 0")
-    first = staged(compare(staged(pairs_of(members), "pairs"), sets), "compared")
+    first = staged(compare(staged(pairs_of(members), "pairs"), sets_of), "compared")
     # Members far from the first centre: the smallest of them is the second one, for all of the bucket.
     near1 = first.where(_at_least(math.ceil(100 * tight))).select("c", F.col("m").alias("rep"))
     far1 = members.where("rep <> c").join(near1, ["c", "rep"], "left_anti")
     second = far1.groupBy("k").agg(F.min(F.struct("rep", "n")).alias("s")).select("k", F.col("s.rep").alias("c2"), F.col("s.n").alias("nc2"))
     again = staged(members.join(second, "k").select("k", "rep", "n", F.col("c").alias("c1"), F.col("c2").alias("c"), F.col("nc2").alias("nc")), "again")
-    tested = staged(compare(staged(pairs_of(again).join(first.select("c", "m"), ["c", "m"], "left_anti"), "pairs"), sets), "compared")
+    tested = staged(compare(staged(pairs_of(again).join(first.select("c", "m"), ["c", "m"], "left_anti"), "pairs"), sets_of), "compared")
     both = first.unionByName(tested)
     near = both.where(_at_least(math.ceil(100 * tight))).select("c", F.col("m").alias("rep"))
     far2 = again.where("rep <> c AND rep <> c1").join(near, ["c", "rep"], "left_anti").join(near.withColumnRenamed("c", "c1"), ["c1", "rep"], "left_anti")
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     units = staged(units.distinct(), "units")
     mixed = units.groupBy("u", "label").agg(F.count("*").alias("held")).groupBy("u").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = staged(units.join(mixed.select("u", F.col("most.label").alias("most")), "u").select("u", "rep", "label", (F.col("label") == F.col("most")).alias("main")), "open")
-    more = staged(_blocks(open_, only(sets, open_.select(F.col("rep").alias("id"))), percent, block), "more")
+    more = staged(_blocks(open_, sets_of(open_.select(F.col("rep").alias("id"))), percent, block), "more")
     joined = components(more)
     label2 = label1.join(joined.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
     alone = joined.join(label1, "node", "left_anti")  # joined by blocks alone
