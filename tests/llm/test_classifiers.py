@@ -40,7 +40,8 @@ def test_held_out_is_not_learned_from(spark, docs):
 def test_toxicity_of_held_out_documents(spark, labels):
     found = op7_toxicity(spark, SF).join(labels, "doc_id").toPandas()
     assert found.score.between(0, 1).all() and ((found.score >= 0.5) == (found.predicted == 1)).all()
-    clean = found[found.held_out & (found.toxic == 0)]
+    clean, toxic = found[found.held_out & (found.toxic == 0)], found[found.held_out & (found.toxic == 1)]
+    assert (toxic.predicted == 1).mean() > 0.7
     assert (clean.predicted == 0).mean() > 0.95
     assert found[(found.toxic == 1)].score.mean() > 5 * found[found.toxic == 0].score.mean()
 
@@ -68,7 +69,7 @@ def test_disguised_words_are_restored(spark):
 def test_quality_against_labels(spark, labels):
     found = op3_quality_classifier(spark, SF).join(labels, "doc_id").toPandas()
     assert found.score.between(0, 1).all()
-    assert found[found.quality == 1].kept.mean() > 0.9 and found[found.quality == 0].kept.mean() < 0.5
+    assert found[found.quality == 1].kept.mean() > 0.95 and found[found.quality == 0].kept.mean() < 0.1
 
 
 def test_em_recovers_labeller_accuracies():
@@ -83,6 +84,12 @@ def test_em_recovers_labeller_accuracies():
     assert good[(patterns == 2).all(1)][0] > 0.95 and good[(patterns == 0).all(1)][0] < 0.1
 
 
+def test_one_text_many_times_gives_one_of_the_sample(spark):
+    many = spark.range(100_000).select(F.lit("the same text again").alias("text"), F.lit("en").alias("lang")).union(spark.createDataFrame([("der baum", "de"), ("das haus", "de")] * 20, "text string, lang string"))
+    assert langid.train(many, per_lang=1000).predict("das haus der baum")[0] in ("de", "en")
+    assert quality_model.train(many, sample=1000).shape[1] == 2
+
+
 def test_quality_edges(spark):
     frame = spark.createDataFrame([(1, None, 3), (2, "", 4), (None, "some words here", 5)], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in quality_model.score(frame, quality_model.train(frame)).collect()}
