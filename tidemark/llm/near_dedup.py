@@ -111,6 +111,17 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.sparkSession.createDataFrame(counts.where(F.col("n") > limit).select(key).collect(), f"`{key}` long")
 
 
+def join_held(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """rows (staged) with the one row that per_key (staged) has for their key; `held` counts a key's rows and is left out.
+
+    The rows of hot keys stay where they are: those keys, fewer than HOT, are broadcast.
+    """
+    limit = max(HOT, (per_key.agg(F.sum("held")).first()[0] or 0) // HOT)
+    hot = F.broadcast(per_key.where(F.col("held") > limit).drop("held"))
+    cold = rows.join(hot, key, "left_anti").join(per_key.where(F.col("held") <= limit).drop("held"), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def compare(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """pairs (staged): c, m, nc, nm -> and `common`: the size of the intersection of the two full sets.
 
@@ -208,12 +219,14 @@ def block_links(percent: int):
 
 
 def _blocks(units: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """units (u, rep, label, main): links between members of a unit, but those of its main label among themselves."""
-    sized = units.join(sets, units["rep"] == sets["doc"]).select("u", "rep", "label", "main", "set", "n")
+    """units (staged; u, rep, label, main): links between members of a unit, but those of its main label among themselves."""
     need = units.join(sets.select("doc", "n"), units["rep"] == F.col("doc")).groupBy("u").agg(
-        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("main") == side, F.greatest(F.col("n"), F.lit(min(LEAST, block)))).otherwise(0)) / block)).cast("int").alias(name) for side, name in ((True, "nm"), (False, "no"))]
+        *[F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("main") == side, F.greatest(F.col("n"), F.lit(min(LEAST, block)))).otherwise(0)) / block)).cast("int").alias(name) for side, name in ((True, "nm"), (False, "no"))],
+        F.count("*").alias("held"),
     )
-    dealt = sized.join(need, "u").withColumn("blk", F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("no"))).cast("int"))
+    # Sets join last, so they travel by document and by block, never by unit.
+    placed = join_held(units, staged(need, "need"), "u")
+    dealt = placed.join(sets, placed["rep"] == sets["doc"]).drop("doc").withColumn("blk", F.when(F.col("main"), F.pmod(F.xxhash64("rep"), F.col("nm"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("no"))).cast("int"))
     seq = lambda n: F.sequence(F.lit(0), n - 1)
     part = lambda a, b, side: F.struct(a.cast("int").alias("ba"), b.cast("int").alias("bb"), F.lit(side).alias("side"))
     # Blocks of others: -1 - i for a main block on the right side.
@@ -274,8 +287,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_buckets = members.join(far2.select("k").distinct(), "k", "left_semi").select(F.col("k").alias("u"), "rep").withColumn("kind", F.lit(1))
     units = ranges.unionByName(open_buckets).join(label1, F.col("rep") == F.col("node"), "left").select(F.struct("kind", "u").alias("u"), "rep", F.coalesce("label", "rep").alias("label"))
     units = staged(units.distinct(), "units")
-    mixed = units.groupBy("u", "label").agg(F.count("*").alias("held")).groupBy("u").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = staged(units.join(mixed.select("u", F.col("most.label").alias("most")), "u").select("u", "rep", "label", (F.col("label") == F.col("most")).alias("main")), "open")
+    mixed = units.groupBy("u", "label").agg(F.count("*").alias("held")).groupBy("u").agg(F.max(F.struct("held", "label")).alias("most"), F.count("*").alias("labels"), F.sum("held").alias("held")).where("labels > 1")
+    mixed = staged(mixed.select("u", F.col("most.label").alias("most"), "held"), "mixed")
+    open_ = staged(join_held(units, mixed, "u").select("u", "rep", "label", (F.col("label") == F.col("most")).alias("main")), "open")
     more = staged(_blocks(open_, sets_of(open_.select(F.col("rep").alias("id"))), percent, block), "more")
     joined = components(more)
     label2 = label1.join(joined.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
