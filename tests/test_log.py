@@ -199,3 +199,33 @@ def test_sticky_as_a_loop(spark):
 def test_damaged_packed_payloads(spark):
     rows = spark.createDataFrame([(b"", b"\x02\x00"), (b"", b"\x00\x02\x00\x00\x00hi"), (b"", b"\x02\xff\xff\xff\xff")], "payload binary, packed binary")
     assert [r.payload and bytes(r.payload) for r in tlv.decompressed(rows).collect()] == [None, b"hi", None]
+
+
+def test_lookups_over_small_blocks(spark):
+    import random
+
+    draw = random.Random(7)
+    entries = [(draw.choice("ab"), draw.choice([None, *range(-60, 60)])) for _ in range(80)] + [("a", 400), ("c", 3)]
+    asked = sorted({(draw.choice("abd"), draw.randrange(-300, 500)) for _ in range(120)})
+    index, wanted = spark.createDataFrame(entries, "topic string, ts_ns long"), spark.createDataFrame([*asked, ("a", None)], "topic string, t long")
+    of = lambda topic: sorted(x for k, x in entries if k == topic and x is not None)
+    for block in (7, 1000):
+        got = {(r.topic, r.t): (r.rank, r.before, r.after) for r in scans.around(index, wanted.withColumn("kind", F.lit(1)), block).collect()}
+        want = {(k, t): (sum(x <= t for x in of(k)), max((x for x in of(k) if x <= t), default=None), min((x for x in of(k) if x > t), default=None)) for k, t in asked}
+        assert got == want | {("a", None): (0, None, None)}
+    got = {(r.topic, r.t): tuple(r)[2:] for r in scans.point_in_time(index, wanted, 4).collect()}
+    for k, t in asked:
+        exact = t in of(k)
+        outside = (None, None) if exact else (max((x for x in of(k) if x < t - 4), default=None), min((x for x in of(k) if x > t + 4), default=None))
+        assert got[k, t] == (sum(t - 4 <= x <= t + 4 for x in of(k)), exact, *outside)
+    assert got["a", None] == (0, False, None, None)
+    ranks = {(r.topic, r.x): (r.rank, r.exact) for r in scans.search(index, wanted.where("t IS NOT NULL").withColumnRenamed("t", "x"), "ts_ns").collect()}
+    assert ranks == {(k, t): (sum(x < t for x in of(k)), t in of(k)) for k, t in asked}
+
+
+@pytest.mark.parametrize("name", ["nearest", "point_in_time", "sparse_search"])
+def test_lookups_read_no_frame_to_its_end(spark, name):
+    from tidemark.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
