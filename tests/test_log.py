@@ -71,6 +71,33 @@ def test_row_before_over_small_blocks(spark):
         assert {(r.k, r.at): r._p for r in log.previous(frame, ["k"], "at", F.col("v"), block).collect()} == want
 
 
+def test_folds_hold_a_batch_and_carry_their_state(spark):
+    import pandas as pd
+
+    from tidemark.operators.fold import fold
+    from tidemark.plans import decision_queries, integrity_queries
+
+    n = 700
+    rows = [(k, i, i * i % 90 + 1, i % 4, 3_600_000_000_000 * (i * 7), i * 131 % 300, i * 37 % 11 > 5, i * 5309 % 120_000, i * 3 + 2) for k in ("a", None, "b") for i in range(n)]
+    names = "topic string, record_index long, total_size long, secs long, ts_ns long, ms long, ok boolean, us long, end_index long"
+    frame = spark.createDataFrame(rows, names).selectExpr("*", "topic AS user_id", "record_index AS event_id", "record_index AS seg", "total_size * 90 AS size_bytes", "record_index * 3 AS start_index")
+    steps = [(integrity_queries._ewma, "rate double"), (segment_queries._roll(500), "segment long"), (group_queries._linger(), "batch long"), (group_queries._tokens(100), "granted long")]
+    steps = [(s, f"topic string, record_index long, {c}", ["record_index"]) for s, c in steps]
+    steps += [(s, f"user_id string, event_id long, {c} string", ["event_id"]) for s, c in ((decision_queries._follower(), "status"), (decision_queries._circuit(), "state"))]
+    steps += [(segment_queries._select_for_compaction, "topic string, seg long, size_bytes long", ["start_index"])]
+    whole = frame.toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for step, schema, order in steps:
+            got = fold(frame.repartition(5), [schema.split()[0]], order, schema, step).collect()
+            want = pd.concat([step(rows.sort_values(order)) for _, rows in whole.groupby("topic", dropna=False)])
+            assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(None if x is None or x != x else x for x in r)) for r in want.astype(object).itertuples(index=False))
+        seen = fold(frame, ["topic"], ["record_index"], "topic string, n long", lambda rows, state: pd.DataFrame({"topic": rows["topic"][:1], "n": len(rows)})).collect()
+        assert max(r.n for r in seen) <= 64 and sum(r.n for r in seen) == 3 * n
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_vectors(spark):
     index = spark.createDataFrame([("t", i * 1_000_000) for i in range(100)], "topic string, ts_ns long")
     assert index.where(F.col("ts_ns").between(20_000_000, 30_000_000)).count() == 11

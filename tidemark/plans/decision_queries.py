@@ -35,8 +35,9 @@ query("commit_index", "SELECT user_id, list_sort(list(m))[len(list(m)) - (len(li
 
 
 def _follower(limit: int = 60_000, slow_most: int = 3, recover: int = 2):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        status, slow, fast, out = "healthy", 0, 0, []
+    def step(rows: pd.DataFrame, at: dict | None = None) -> pd.DataFrame:
+        at = {} if at is None else at
+        out, (status, slow, fast) = [], at.get("at", ("healthy", 0, 0))
         for us in rows["us"]:
             fast = 0 if us > limit else fast + 1  # the run of fast ones that ends here
             if us > limit:
@@ -51,6 +52,7 @@ def _follower(limit: int = 60_000, slow_most: int = 3, recover: int = 2):
             else:
                 status, slow = "healthy", 0
             out.append(status)
+        at["at"] = status, slow, fast
         return rows[["user_id", "event_id"]].assign(status=out)
 
     return step
@@ -63,8 +65,9 @@ query(
 
 
 def _circuit(failures: int = 3, successes: int = 2, reset_ms: int = DAY_NS // 1_000_000, window_ms: int = 10 * DAY_NS // 1_000_000):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        state, failed, won, opened, last, out = "closed", 0, 0, 0, 0, []
+    def step(rows: pd.DataFrame, at: dict | None = None) -> pd.DataFrame:
+        at = {} if at is None else at
+        out, (state, failed, won, opened, last) = [], at.get("at", ("closed", 0, 0, 0, 0))
         for ms, ok in zip(rows["ms"], rows["ok"], strict=True):
             if state == "open" and ms - opened >= reset_ms:
                 state, won = "half_open", 0
@@ -83,6 +86,7 @@ def _circuit(failures: int = 3, successes: int = 2, reset_ms: int = DAY_NS // 1_
                 elif won >= successes:
                     state, failed, won = "closed", 0, 0
             out.append(state)
+        at["at"] = state, failed, won, opened, last
         return rows[["user_id", "event_id"]].assign(state=out)
 
     return step

@@ -97,14 +97,16 @@ query("actor_route", "SELECT p_partkey AS topic_id, CAST((p_partkey::HUGEINT * 1
 
 
 def _linger(limit: int = 2000, linger_ns: int = DAY_NS):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out, batch, used, opened = [], 0, 0, None
+    def step(rows: pd.DataFrame, state: dict | None = None) -> pd.DataFrame:
+        state = {} if state is None else state
+        out, (batch, used, opened) = [], state.get("at", (0, 0, None))
         for size, ts in zip(rows["total_size"], rows["ts_ns"], strict=True):
             if opened is not None and (used >= limit or ts - opened >= linger_ns):
                 batch, used, opened = batch + 1, 0, None
             opened = ts if opened is None else opened
             used += size
             out.append(batch)
+        state["at"] = batch, used, opened
         return rows[["topic", "record_index"]].assign(batch=out)
 
     return step
@@ -119,8 +121,9 @@ plain("buffer_drops", "SELECT topic, record_index, byte_offset + total_size > 30
 
 
 def _tokens(limit: int):
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = limit, None, []
+    def step(rows: pd.DataFrame, state: dict | None = None) -> pd.DataFrame:
+        state = {} if state is None else state
+        out, (tokens, last) = [], state.get("at", (limit, None))
         for ms, want in zip(rows["ms"], rows["total_size"], strict=True):
             last = ms if last is None else last
             more = limit * (ms - last) // 1000
@@ -129,6 +132,7 @@ def _tokens(limit: int):
             got = min(tokens, want)
             tokens -= got
             out.append(got)
+        state["at"] = tokens, last
         return rows[["topic", "record_index"]].assign(granted=out)
 
     return step

@@ -29,12 +29,14 @@ query("gap_analysis", "SELECT event_id, greatest(l - f, 0) AS gap_bytes, greates
 )
 
 
-def _ewma(rows: pd.DataFrame) -> pd.DataFrame:
-    rate, out = 0.0, []
+def _ewma(rows: pd.DataFrame, state: dict | None = None) -> pd.DataFrame:
+    state = {} if state is None else state
+    rate, out = state.get("rate", 0.0), []
     for size, secs in zip(rows["total_size"], rows["secs"], strict=True):
         if secs > 0:
             rate = 0.3 * (size / secs) + 0.7 * rate
         out.append(rate)
+    state["rate"] = rate
     return rows[["topic", "record_index"]].assign(rate=[round(x, 6) for x in out])
 
 
