@@ -101,3 +101,15 @@ def test_edges(spark):
     assert (none.n_chars, none.edited, none.near_edited, none.near_next) == (1, "a", 1.0, None)
     assert next(r.near_next for r in got if r.doc_id == 8) == 1.0
     assert o.with_edited(frame.limit(0)).count() == 0
+
+
+def test_texts_travel_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = o.with_edited(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("ReusedExchange" in line and "text#" in line for line in plan.splitlines())

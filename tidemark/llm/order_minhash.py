@@ -110,14 +110,16 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = own.where("id IS NOT NULL").withColumn("key", F.xxhash64("text"))
     sigs = staged(rows.select("id", "key", signature(F.col("text"), k, tuple_size).alias("sig"), F.char_length("text").alias("n")).distinct(), "signatures")
     third = lambda n: F.floor(n / 3).cast("int")
-    wanted = _next_ids(sigs.select("id")).join(sigs.groupBy("id").agg(F.max("n").alias("n")), "id").select("id", "next", third(F.col("n")).alias("most"))
+    wanted = _next_ids(sigs.select("id")).join(sigs.groupBy("id").agg(F.max("n").alias("n")), "id").select(F.col("id").alias("to"), "next", third(F.col("n")).alias("most"))
     wanted = staged(wanted, "next")
-    # All of these joins deal by the id alone, so no text travels twice for one of them; rows that share an id are told apart after.
-    kept = sigs.select("id", F.col("key").alias("own_key"), "sig", "n")
+    # All of these joins deal `rows` by its own id alone, unrenamed, so Spark uses one exchange of the texts for all: a text travels once,
+    # and its beginning. Rows that share an id are told apart after.
+    kept = sigs.select(F.col("id").alias("own_id"), F.col("key").alias("own_key"), "sig", "n")
+    by_id = F.col("id") == F.col("own_id")
     same = F.col("key").bitwiseXOR(F.col("own_key")) == 0
-    sent = rows.withColumnRenamed("id", "next").join(wanted, "next").join(kept.select(F.col("id").alias("next"), "own_key", F.col("sig").alias("next_sig")), "next").where(same)
-    sent = sent.select("id", F.struct(F.substring("text", F.lit(1), F.col("most")).alias("head"), "next_sig").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
-    full = rows.join(kept, "id").where(same).join(sent, "id")
+    sent = rows.join(wanted, F.col("id") == F.col("next")).join(kept, by_id).where(same)
+    sent = sent.select("to", F.struct(F.substring("text", F.lit(1), F.col("most")).alias("head"), F.col("sig").alias("next_sig")).alias("s")).groupBy("to").agg(F.min("s").alias("s"))
+    full = rows.join(kept, by_id).where(same).join(sent, F.col("id") == F.col("to"))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - third(F.col("n"))), F.substring("s.head", F.lit(1), third(F.col("n"))))
     full = full.select("id", "n", "sig", edited.alias("edited"), F.col("s.next_sig").alias("next_sig"))
     full = full.withColumn("edited_sig", signature(F.col("edited"), k, tuple_size))
