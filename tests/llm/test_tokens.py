@@ -117,3 +117,33 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert sorted(sum(many[i] for i in b) for b in end) == [31, 90] and sorted(i for b in end for i in b) == list(range(53))
     apart = [[0], [1], [2]]
     assert len(packing.local_search(apart, [5, 3, 2], 10)) == 1
+
+
+def test_workers_give_memory_back(spark):
+    """What one task of encoding or decoding took is not with the worker when the next begins."""
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    def taken(kilobytes):
+        def run(batches):
+            for batch in batches:
+                held = [bytes(2000 + i % 7) for i in range(kilobytes // 2)]
+                last = held[-1]  # between what is freed and the heap's end
+                yield pa.RecordBatch.from_arrays([pa.array([len(held)])], names=["n"])
+                del held
+            keep.append(last)
+
+        return run
+
+    def resident():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous:"))
+
+    keep = []
+    one = [pa.RecordBatch.from_arrays([pa.array([1])], names=["n"])]
+    before = resident()
+    list(taken(200_000)(one))
+    loose = resident() - before
+    list(common.tidy(taken(200_000))(one))
+    assert resident() - before < 40_000 < loose

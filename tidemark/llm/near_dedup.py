@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, ascii_lower, let, pack_words, staged, whole
+from .common import apart, ascii_lower, let, pack_words, staged, tidy, whole
 
 ROWS = 6
 MISS = 1e-6
@@ -69,6 +69,7 @@ def signatures(sets: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     odd = rng.integers(0, 2**63, perms + 2, np.uint64) * np.uint64(2) + np.uint64(1)
     flip = rng.integers(0, 2**63, perms + 2, np.uint64)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift, mul = np.uint64(32), np.uint64(0xFF51AFD7ED558CCD)
         for batch in (whole_.slice(low, SLICE) for whole_ in batches for low in range(0, whole_.num_rows, SLICE)):
@@ -127,6 +128,7 @@ def compare(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> Data
 
     A hot centre's rows are dealt to SPREAD tasks, each with a copy of the centre's set.
     """
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = np.empty(batch.num_rows, np.int64)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, staged
+from .common import parts, staged, tidy
 from .pieces import Cache, Splitter, encode_all
 
 GROUP = 65_536
@@ -82,20 +82,16 @@ class Encoder:
                 yield from encode_all(self.splitter, self.cache, run)
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, deal (random number) and, if `ids`, the ids as binary: a row for each piece."""
     end = np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _loaded:
-            _loaded[path] = Encoder(path)
-        encoder, row = _loaded[path], 0
+        encoder, row = Encoder(path), 0  # of this task alone
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             texts = (text.as_py() or "" for text in batch.column(1))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, tidy
 from .linear import Ftrl, Sample, code_points
 
 BITS = 18
@@ -69,6 +69,7 @@ def classes(text: str) -> np.ndarray:
 def language_model(docs: DataFrame) -> np.ndarray:
     """ln P(c | a, b) as an array of SIZE ** 3, of the trigrams of all texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SIZE**3, np.int64)
         for batch in batches:
@@ -207,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     picked = labels.where(F.pmod(draw, F.lit(1 << 30)) < rate * (1 << 30)).orderBy(draw).limit(3 * per_class).distinct()
     shared = docs.sparkSession.sparkContext.broadcast(language)
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader(Decoder(shared.value))
         for batch in batches:
@@ -237,6 +239,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score: the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = shared.value.reader()
         for batch in batches:
@@ -250,6 +253,7 @@ def keep_clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of docs with a score below `limit`, all columns as they were."""
     shared, schema, at = docs.sparkSession.sparkContext.broadcast(model), docs.schema, docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = shared.value.reader()
         for batch in batches:
