@@ -68,3 +68,17 @@ def test_run_and_odd_documents(spark, tmp_path):
         got = pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert len(got) == len(data)
     assert re.match("[a-z_]+$", pipeline.STAGES[0][0]) and len(pipeline.STAGES) == 5
+
+
+def test_driver_stays_small(spark, steps, monkeypatch):
+    """The toxicity scorer is fitted in a task, not in the driver, and the driver's Java process gives its allocator's memory back with each table."""
+    from tidemark.llm import common, linear
+
+    want = toxicity.train(steps[0], toxicity.learning(spark.read.parquet(f"{SF}/labels.parquet")))
+    monkeypatch.setattr(linear.Ftrl, "fit", None)  # of this process alone: workers import their own
+    got = toxicity.train(steps[0], toxicity.learning(spark.read.parquet(f"{SF}/labels.parquet")))
+    assert got.weights and got.weights == want.weights and got.bias == want.bias
+    said = []
+    monkeypatch.setattr(common, "driver_gives_back", lambda s, of=common.driver_gives_back: said.append(of(s)))
+    staged(spark.range(3), "small")
+    assert len(said) == 1 and "rim native heap" in said[0]

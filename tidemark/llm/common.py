@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     context = spark.sparkContext
+    driver_gives_back(spark)
     _staged.append((context._jvm.org.apache.hadoop.fs.Path(path), context._jsc.hadoopConfiguration()))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,10 +76,47 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, which gives its memory back when it ends: Spark's workers live on from stage to stage."""
+def driver_gives_back(spark: SparkSession) -> str:
+    """As give_back(), for the driver's processes; what the Java one says (empty if it has no such command: HotSpot on Linux does).
+
+    Planning and compiling a query with many threads leaves some 200 MB with its allocator, that no heap setting bounds.
+    """
+    give_back()
+    context = spark.sparkContext
+    jvm, said = context._jvm, ""
+    with contextlib.suppress(Py4JError, PySparkException):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = context._gateway.new_array(jvm.java.lang.Object, 4)  # no arguments, no signature
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        said = str(invoke.invoke(server, args))
+    return said
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, held by this worker process until a task of another kind begins (tidy)."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget(but: str) -> None:
+    """Whatever else is kept goes, and its memory with it."""
+    others = [k for k in _kept if k != but]
+    for k in others:
+        del _kept[k]
+    if others:
+        give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which gives its memory back when it ends, but for what it keeps by that name: Spark's workers live on from stage to stage."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from run(batches)
         give_back()
 

@@ -15,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, tidy
+from .common import driver_gives_back, fold_of, tidy
 from .linear import Ftrl, Sample, code_points
 
 BITS = 18
@@ -83,9 +83,9 @@ def language_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()  # SIZE ** 3 at most
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # SIZE ** 3 at most
     counts = np.full(SIZE**3, 0.01)
-    counts[[r.at for r in rows]] += [r.n for r in rows]
+    counts[rows["at"].to_numpy()] += rows["n"].to_numpy()
     counts = counts.reshape(SIZE, SIZE, SIZE)
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
@@ -218,21 +218,40 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
     sample = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")  # rows that share an id give one
-    table = sample.mapInArrow(rows, "toxic int, at array<int>, n array<tinyint>").toArrow()
+    fitted = sample.mapInArrow(rows, "toxic int, at array<int>, n array<tinyint>").repartition(1).mapInArrow(fitting(sizes), "at int, odds double").toArrow()
     shared.unpersist()
-    toxic = table["toxic"].to_numpy()
-    drawn = [int((toxic == k).sum()) for k in (0, 1)]
-    if not all(drawn):
+    if not len(fitted):
         return Model(language, {}, None)
-    at = [a.values.to_numpy() for a in table["at"]]
-    order = np.array(sorted(range(len(at)), key=lambda i: (toxic[i], at[i].tolist())))
-    data = Sample([at[i] for i in order], [np.log1p(table["n"][int(i)].values.to_numpy()) for i in order], np.eye(2)[toxic[order]])
-    del table, at
-    w = Ftrl(2, 1 << BITS, alpha=0.3, l1=2.0, l2=0.1).fit(data, 8)
-    odds = w[:, 1] - w[:, 0]
-    prior = np.log(sizes[1] / sizes[0]) - np.log(drawn[1] / drawn[0])
-    places = np.flatnonzero(odds[:-1])
-    return Model(language, dict(zip(places.tolist(), odds[places].tolist(), strict=True)), float(odds[-1] + prior))
+    weights = dict(zip(fitted["at"].to_pylist(), fitted["odds"].to_pylist(), strict=True))
+    bias = weights.pop(-1)
+    driver_gives_back(docs.sparkSession)
+    return Model(language, weights, bias)
+
+
+def fitting(sizes: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The scorer of all rows (toxic, at, n) of one task: the odds of each feature that counts, at -1 the bias; nothing without both classes.
+
+    The sample, large beside the weights, so never comes to the driver. Its order does not matter.
+    """
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, pa.schema([("toxic", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int8()))]))
+        toxic = table["toxic"].to_numpy()
+        drawn = [int((toxic == k).sum()) for k in (0, 1)]
+        if not all(drawn):
+            return
+        at = [a.values.to_numpy() for a in table["at"]]
+        order = np.array(sorted(range(len(at)), key=lambda i: (toxic[i], at[i].astype(">i4").tobytes())))
+        data = Sample([at[i] for i in order], [np.log1p(table["n"][int(i)].values.to_numpy()) for i in order], np.eye(2)[toxic[order]])
+        del table, at
+        w = Ftrl(2, 1 << BITS, alpha=0.3, l1=2.0, l2=0.1).fit(data, 8)
+        odds = w[:, 1] - w[:, 0]
+        prior = np.log(sizes[1] / sizes[0]) - np.log(drawn[1] / drawn[0])
+        places = np.flatnonzero(odds[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[places, -1], pa.int32()), pa.array(np.r_[odds[places], odds[-1] + prior])], names=["at", "odds"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
