@@ -79,7 +79,7 @@ def give_back() -> None:
 def driver_gives_back(spark: SparkSession) -> str:
     """As give_back(), for the driver's processes; what the Java one says (empty if it has no such command: HotSpot on Linux does).
 
-    Planning and compiling a query with many threads leaves some 200 MB with its allocator, that no heap setting bounds.
+    Planning and compiling a query with many threads leaves memory (172 MB measured) with its allocator, that no heap setting bounds.
     """
     give_back()
     context = spark.sparkContext
@@ -93,30 +93,10 @@ def driver_gives_back(spark: SparkSession) -> str:
     return said
 
 
-_kept: dict[str, object] = {}
-
-
-def kept(name: str, make: Callable[[], object]) -> object:
-    """What make() gives, held by this worker process until a task of another kind begins (tidy)."""
-    if name not in _kept:
-        _kept[name] = make()
-    return _kept[name]
-
-
-def forget(but: str) -> None:
-    """Whatever else is kept goes, and its memory with it."""
-    others = [k for k in _kept if k != but]
-    for k in others:
-        del _kept[k]
-    if others:
-        give_back()
-
-
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run for mapInArrow, which gives its memory back when it ends, but for what it keeps by that name: Spark's workers live on from stage to stage."""
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which gives its memory back when it ends: Spark's workers live on from stage to stage."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget(keeps)
         yield from run(batches)
         give_back()
 
